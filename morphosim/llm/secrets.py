@@ -1,0 +1,308 @@
+"""Secret scans: fixed patterns, and a character convolutional network over every other candidate.
+
+A candidate is a run of at least ``LEAST`` characters that tokens and keys are
+written with. The network reads the characters before it, its own and those after
+it, and is trained in numpy on labelled findings: candidates of the corpus, labelled
+by the fixed patterns (a bounded sample, by hash), and made-up keys, names,
+addresses and paths of other kinds. Its score is calibrated on findings it wasn't
+trained on, and the threshold is the highest that still finds ``recall`` of those
+that are secrets. Candidates above it that touch no fixed finding are added.
+
+Defined cases: a null text is empty and has no spans; repeated rows are scanned
+each; a null doc_id is kept; an empty table gives no rows; other columns are kept by
+``redact`` and ignored by ``scan``. Spans are in code points, ends exclusive.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+from dataclasses import dataclass, field
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ._shared import small_batches, table
+from ._textkernel import pieces, utf8
+
+# The patterns that findings of each kind must match, in this order.
+ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I)
+ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
+HEX = re.compile(rb"[0-9a-f]+")
+KINDS = ("assign", "access", "hex", "network")
+CLUES = (b"passw", b"secret", b"token", b"api")
+
+LEAST, BEFORE, INSIDE, AFTER = 16, 24, 40, 8
+WIDTH = BEFORE + INSIDE + AFTER
+CANDIDATE = np.zeros(256, bool)
+CANDIDATE[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"]] = True
+#: 48 classes of bytes: letters by case, digits in two halves, and marks of their own.
+CLASS = np.zeros(256, np.int64)
+CLASS[97:123] = 1 + np.arange(26) % 13
+CLASS[65:91] = 14 + np.arange(26) % 13
+CLASS[97:103] = [27, 28, 29, 30, 31, 32]
+CLASS[48:58] = [33, 33, 33, 33, 33, 34, 34, 34, 34, 34]
+for _i, _c in enumerate(" \"'=:_-.+/@\n"):
+    CLASS[ord(_c)] = 35 + _i
+CLASS[128:] = 47
+N_CLASSES, PAD = 49, 48
+
+
+def windows(data: np.ndarray, start: np.ndarray, end: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Classes around candidates, padded beyond their document (low to high) and between the parts."""
+    at = np.arange(WIDTH)
+    from_start = start[:, None] + at[None, :] - BEFORE
+    from_end = end[:, None] + at[None, :] - BEFORE - INSIDE
+    place = np.where(at < BEFORE + INSIDE, from_start, from_end)
+    ok = (place >= low[:, None]) & (place < high[:, None]) & ~((at >= BEFORE) & (at < BEFORE + INSIDE) & (from_start >= end[:, None]))
+    return np.where(ok, CLASS[data[np.clip(place, 0, max(len(data) - 1, 0))]] if len(data) else PAD, PAD)
+
+
+class Network:
+    """Embedded classes, one convolution, the largest response before, inside and after, and a logistic unit."""
+
+    def __init__(self, filters: int = 24, wide: int = 5, deep: int = 8, seed: int = 3):
+        rng = np.random.default_rng(seed)
+        self.wide, self.deep = wide, deep
+        self.p = {"e": rng.normal(0, 0.5, (N_CLASSES, deep)), "k": rng.normal(0, 0.3, (wide * deep, filters)), "kb": np.zeros(filters), "o": rng.normal(0, 0.2, 3 * filters), "ob": np.zeros(1)}
+        half = wide // 2
+        centre = np.arange(WIDTH - wide + 1) + half
+        self.zones = [np.flatnonzero(centre < BEFORE), np.flatnonzero((centre >= BEFORE) & (centre < BEFORE + INSIDE)), np.flatnonzero(centre >= BEFORE + INSIDE)]
+        self.scale, self.shift, self.threshold = 1.0, 0.0, 0.5
+
+    def _forward(self, x: np.ndarray):
+        e = self.p["e"][x]
+        cols = np.stack([e[:, i : i + WIDTH - self.wide + 1] for i in range(self.wide)], 2).reshape(len(x), WIDTH - self.wide + 1, -1)
+        h = np.maximum(cols @ self.p["k"] + self.p["kb"], 0)
+        best = [h[:, z].argmax(1) + z[0] for z in self.zones]
+        top = np.concatenate([np.take_along_axis(h, b[:, None], 1)[:, 0] for b in best], 1)
+        return cols, best, top, top @ self.p["o"] + self.p["ob"][0]
+
+    def logit(self, x: np.ndarray) -> np.ndarray:
+        return np.concatenate([self._forward(x[i : i + 512])[3] for i in range(0, len(x), 512)]) if len(x) else np.zeros(0)
+
+    def chance(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.scale * self.logit(x) + self.shift, -50, 50)))
+
+    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 10, rate: float = 0.01, seed: int = 5) -> None:
+        rng, m, v, step = np.random.default_rng(seed), {}, {}, 0
+        weight = np.where(y > 0, 0.5 / max(y.mean(), 1e-3), 0.5 / max(1 - y.mean(), 1e-3))
+        for _ in range(epochs):
+            for at in np.array_split(rng.permutation(len(x)), max(1, len(x) // 64)):
+                cols, best, top, z = self._forward(x[at])
+                d = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y[at]) * weight[at] / len(at)
+                g = {"o": top.T @ d, "ob": np.array([d.sum()])}
+                n = len(self.p["kb"])
+                gk, gkb, ge = np.zeros_like(self.p["k"]), np.zeros(n), np.zeros_like(self.p["e"])
+                for j, b in enumerate(best):
+                    dh = d[:, None] * self.p["o"][j * n : (j + 1) * n] * (top[:, j * n : (j + 1) * n] > 0)
+                    own = np.take_along_axis(cols, b[:, :, None], 1)  # examples x filters x (wide * deep)
+                    gk += np.einsum("bf,bfc->cf", dh, own)
+                    gkb += dh.sum(0)
+                    back = (dh[:, :, None] * self.p["k"].T[None]).reshape(len(at), n, self.wide, self.deep)
+                    for i in range(self.wide):
+                        np.add.at(ge, np.take_along_axis(x[at], b + i, 1), back[:, :, i])
+                g |= {"k": gk, "kb": gkb, "e": ge}
+                step += 1
+                for k, q in g.items():
+                    m[k] = 0.9 * m.get(k, 0) + 0.1 * q
+                    v[k] = 0.999 * v.get(k, 0) + 0.001 * q * q
+                    self.p[k] = self.p[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
+
+    def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float) -> None:
+        """A logistic curve over the score, then the highest threshold with this recall (never below 0.5)."""
+        z = self.logit(x)
+        a, b = 1.0, 0.0
+        for _ in range(400):
+            p = 1 / (1 + np.exp(-np.clip(a * z + b, -50, 50)))
+            a, b = a - 0.05 * (((p - y) * z).mean() + 1e-3 * a), b - 0.05 * (p - y).mean()
+        self.scale, self.shift = a, b
+        own = np.sort(self.chance(x[y > 0]))
+        self.threshold = max(0.5, own[int((1 - recall) * len(own))]) if len(own) else 0.5
+
+
+def made_up(n: int, seed: int = 17) -> tuple[list[tuple[bytes, int, int]], np.ndarray]:
+    """Findings of kinds that the fixed patterns don't know, with labels: (text, start, end) and 1 for secrets."""
+    r = random.Random(seed)
+    pick = lambda letters, k: "".join(r.choice(letters) for _ in range(k))
+    low, up, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    every = low + up + digits
+    syllables = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "en", "que", "cion", "sch", "ung", "ment", "tion", "ble", "eau", "ado"]
+    word = lambda: "".join(r.choice(syllables) for _ in range(r.randint(1, 4)))
+    long_word = lambda: "".join(r.choice(syllables) for _ in range(r.randint(6, 12)))
+    secret = [
+        lambda: ("", "sk_live_" + pick(every, r.randint(24, 34)), ""), lambda: ("", "ghp_" + pick(every, 36), ""), lambda: ("", "xoxb-" + pick(digits, 12) + "-" + pick(every, 24), ""),
+        lambda: ("client_key: ", pick(every + "+/", r.randint(32, 44)), ""), lambda: ("Authorization: Bearer ", pick(every, 20) + "." + pick(every, 40) + "." + pick(every + "_-", 30), ""),
+        lambda: ("aws_key = '", pick(every + "+/", 40), "'"), lambda: ("pass: ", pick(every, r.randint(16, 24)), ""),
+    ]
+    plain = [
+        lambda: ("", long_word(), ""), lambda: ("", long_word().upper(), ""), lambda: ("", f"{word()}.{r.randint(1, 99)}", f"@mail{r.randint(0, 9)}.example.com"), lambda: ("https://www.", f"{long_word()}.example.com/{word()}/{r.randint(1, 9999)}", ""),
+        lambda: ("", "/".join(word() for _ in range(5)) + ".html", ""), lambda: ("", "-".join(long_word() for _ in range(2)), ""), lambda: ("", f"20{r.randint(10, 29)}-0{r.randint(1, 9)}-1{r.randint(0, 9)}T1{r.randint(0, 9)}.00.00", ""),
+        lambda: ("", "_".join(word() for _ in range(5)) + str(r.randint(1, 99)), ""), lambda: ("", pick("=-_", 1) * r.randint(16, 40), ""), lambda: ("@", f"mail{r.randint(0, 9)}.{long_word()}.example.com", ""), lambda: ("", long_word() + ".", ""),
+    ]
+    out, labels = [], []
+    for i in range(n):
+        label = i % 2
+        before, body, after = r.choice(secret if label else plain)()
+        head = " ".join(word() for _ in range(5)) + " " + before
+        out.append(((head + body + after + " " + " ".join(word() for _ in range(3))).encode(), len(head), len(head) + len(body)))
+        labels.append(label)
+    return out, np.array(labels)
+
+
+@dataclass
+class Found:
+    """Spans of a piece of rows, in bytes of its buffer: (row, kind, start, end), and candidates that touch none."""
+
+    data: np.ndarray
+    offsets: np.ndarray
+    spans: list[tuple[int, int, int, int]] = field(default_factory=list)
+    start: np.ndarray = None
+    end: np.ndarray = None
+    row: np.ndarray = None
+    fixed: np.ndarray = None
+
+
+def find(data: np.ndarray, offsets: np.ndarray) -> Found:
+    """All fixed findings, and all candidates with whether a fixed finding touches them.
+
+    Runs are found with numpy. A run of hexadecimal digits or of an access key lies
+    inside a candidate, so those patterns only look there; the assignments are only
+    looked for in rows that hold one of their words.
+    """
+    out = Found(data, offsets)
+    n = len(data)
+    edge = np.zeros(n + 1, bool)
+    edge[offsets] = True
+    solid = CANDIDATE[data]
+    begin, stop = solid.copy(), solid.copy()
+    begin[1:] &= ~solid[:-1] | edge[1:n]
+    stop[:-1] &= ~solid[1:] | edge[1:n]
+    start, end = np.flatnonzero(begin), np.flatnonzero(stop) + 1
+    long = end - start >= LEAST
+    out.start, out.end = start[long], end[long]
+    out.row = np.searchsorted(offsets, out.start, "right") - 1
+    raw = data.tobytes()
+    for a, b, row in zip(out.start.tolist(), out.end.tolist(), out.row.tolist(), strict=True):
+        part = raw[a:b]
+        if b"AKIA" in part:
+            out.spans += [(row, 1, a + m.start(), a + m.end()) for m in ACCESS.finditer(part) if m.end() - m.start() >= 18]
+        out.spans += [(row, 2, a + m.start(), a + m.end()) for m in HEX.finditer(part) if m.end() - m.start() >= 16]
+    small = raw.lower()
+    rows = {int(np.searchsorted(offsets, m.start(), "right")) - 1 for clue in CLUES for m in re.finditer(clue, small)}
+    for row in rows:
+        a = int(offsets[row])
+        out.spans += [(row, 0, a + m.start(), a + m.end()) for m in ASSIGN.finditer(raw[a : int(offsets[row + 1])]) if len(m[2]) >= 12]
+    cover = np.zeros(n + 1, np.int64)
+    for _, _, a, b in out.spans:
+        cover[a] += 1
+        cover[b] -= 1
+    covered = np.concatenate([[0], np.cumsum(np.cumsum(cover[:n]) > 0)])
+    out.fixed = covered[out.end] > covered[out.start]
+    return out
+
+
+def _windows(f: Found, which: np.ndarray) -> np.ndarray:
+    return windows(f.data, f.start[which], f.end[which], f.offsets[f.row[which]], f.offsets[f.row[which] + 1])
+
+
+def _parts(column: pa.Array):
+    data, offsets = utf8(column)
+    for a, b in pieces(offsets):
+        yield a, b, find(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+
+
+def findings(docs: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows and labels of at most ``most`` candidates of each label: those with the smallest hashes."""
+
+    def run(batches):
+        for batch in batches:
+            for _, _, f in _parts(batch.column(0)):
+                x = _windows(f, np.arange(len(f.start))).astype(np.uint8)
+                body = [w.tobytes() for w in x]
+                order = [int.from_bytes(hashlib.blake2b(w, digest_size=7).digest()) for w in body]
+                yield pa.RecordBatch.from_arrays([pa.array(body, pa.binary()), pa.array(f.fixed), pa.array(order, pa.int64())], ["x", "y", "o"])
+
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col("text").cast("string")).mapInArrow(run, "x binary, y boolean, o long").groupBy("y", "o").agg(F.first("x").alias("x"))
+    got = [r for y in (True, False) for r in rows.where(F.col("y") == y).orderBy("o").limit(most).collect()]
+    return (np.array([np.frombuffer(r["x"], np.uint8) for r in got], np.int64).reshape(len(got), WIDTH), np.array([int(r["y"]) for r in got]))
+
+
+def train(docs: DataFrame, most: int = 1500, artificial: int = 2000, recall: float = 0.99) -> Network:
+    """The network, its calibration and threshold, from at most 2 * most + artificial labelled findings."""
+    x, y = findings(docs, most)
+    made, labels = made_up(artificial)
+    mine = np.concatenate([windows(np.frombuffer(t, np.uint8), np.array([a]), np.array([b]), np.array([0]), np.array([len(t)])) for t, a, b in made])
+    x, y = np.concatenate([x, mine]), np.concatenate([y, labels])
+    order = np.random.default_rng(1).permutation(len(x))
+    x, y = x[order], y[order].astype(float)
+    apart = np.arange(len(x)) % 4 == 0
+    network = Network()
+    network.fit(x[~apart], y[~apart])
+    network.calibrate(x[apart], y[apart], recall)
+    return network
+
+
+def _spans(f: Found, network: Network) -> list[list[tuple[int, int, int]]]:
+    """Each row's (start, kind, end) in code points, by start and then kind."""
+    open_ = np.flatnonzero(~f.fixed)
+    added = open_[network.chance(_windows(f, open_)) >= network.threshold] if len(open_) else open_
+    spans = f.spans + [(int(f.row[i]), 3, int(f.start[i]), int(f.end[i])) for i in added]
+    out: list[list[tuple[int, int, int]]] = [[] for _ in range(len(f.offsets) - 1)]
+    points = np.concatenate([[0], np.cumsum((f.data & 0xC0) != 0x80)])
+    for row, kind, a, b in spans:
+        zero = points[f.offsets[row]]
+        out[row].append((int(points[a] - zero), kind, int(points[b] - zero)))
+    return [sorted(x) for x in out]
+
+
+def _text(spans) -> str:
+    return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
+
+
+def scan(docs: DataFrame, network: Network) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans of each document."""
+    model = docs.sparkSession.sparkContext.broadcast(network)
+
+    def run(batches):
+        for batch in batches:
+            for a, b, f in _parts(batch.column(1)):
+                spans = _spans(f, model.value)
+                count = lambda k: pa.array([sum(x[1] == k for x in s) for s in spans], pa.int64())  # noqa: B023, E731
+                base = [hashlib.sha256(_text([x for x in s if x[1] < 3]).encode()).hexdigest() for s in spans]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), count(0), count(1), count(2), pa.array(base), pa.array([_text(s) for s in spans])], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+
+    small_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+
+
+def redact(docs: DataFrame, network: Network, mark: str = "[secret]") -> DataFrame:
+    """``docs`` with every span in ``text`` replaced; a null text stays null."""
+    model, at = docs.sparkSession.sparkContext.broadcast(network), docs.columns.index("text")
+
+    def clean(text: str, spans) -> str:
+        out, place = [], 0
+        for a, _, b in spans:
+            if b > place:
+                out += [text[place:a], mark] if a >= place else []
+                place = b
+        return "".join([*out, text[place:]])
+
+    def run(batches):
+        for batch in batches:
+            texts: list[str | None] = []
+            for a, b, f in _parts(batch.column(at)):
+                texts += [clean(t, s) if s else t for t, s in zip(batch.column(at)[a:b].to_pylist(), _spans(f, model.value), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns)], batch.schema.names)
+
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
+
+
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return scan(docs, train(docs))
