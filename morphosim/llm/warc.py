@@ -104,7 +104,7 @@ class BundleWriter:
 
         system, path = open_fs(uri)
         self.uri, self.frame_bytes = uri, frame_bytes
-        self.out, self.zstd = system.open_output_stream(path), zstandard.ZstdCompressor(level=level, write_content_size=True)
+        self.out, self.zstd = system.open_output_stream(path, compression=None), zstandard.ZstdCompressor(level=level, write_content_size=True)
         self.frames, self.place, self.held, self.size, self.entries, self.pending = [], 0, [], 0, [], []
 
     def add(self, rid: str, page_id, kind: str, data: bytes) -> None:
