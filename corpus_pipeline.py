@@ -27,8 +27,9 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't contaminated."""
-    return decontaminate.hits(docs, table(spark, sf_dir, "benchmark")).where(~F.col("contaminated")).select(*docs.columns)
+    """Documents that aren't contaminated. The row number keeps the filter from being pushed down, which would search twice."""
+    found = decontaminate.hits(docs, table(spark, sf_dir, "benchmark")).withColumn("_row", F.monotonically_increasing_id())
+    return found.where(~F.col("contaminated") & (F.col("_row") >= 0)).select(*docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,11 +7,13 @@
    hashes in bands of 4, a pair at similarity 0.8 shares no band once in 10**7.
 3. Classes that share a band are candidates. Instead of all pairs of a bucket,
    rounds compare each member with one hub of the bucket that is not yet in its
-   component; what still lies apart then is compared in blocks, all against all,
-   on packed signatures inside the tasks.
+   component. Every bucket has a hub of its own, so members of a large group meet
+   many hubs and soon are one component. What still lies apart then is compared in
+   blocks, all against all, on packed signatures inside the tasks.
 4. The estimated similarity, corrected for chance agreement of low bits, drops
-   only pairs that are more than ``margin`` below the threshold; the rest are
-   confirmed exactly on the full sets.
+   only pairs that are more than ``margin`` below the threshold (in the rounds, which
+   decide nothing for good, already a little below it); the rest are confirmed
+   exactly on the full sets.
 5. Components join classes of confirmed links.
 
 Defined cases: null, empty and blank texts have no shingles and are linked with
@@ -38,7 +40,7 @@ U64 = np.uint64
 class Scheme:
     """Parameters of a search; ``shingle`` words, links at ``percent`` or more of Jaccard similarity."""
 
-    def __init__(self, shingle: int = 5, percent: int = 80, hashes: int = 128, bits: int = 4, band_rows: int = 4, margin: float = 0.2, rounds: int = 2, block: int = 256, seed: int = 7):
+    def __init__(self, shingle: int = 5, percent: int = 80, hashes: int = 128, bits: int = 4, band_rows: int = 4, margin: float = 0.2, rounds: int = 3, block: int = 256, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.shingle, self.percent, self.hashes, self.bits, self.band_rows, self.margin, self.rounds, self.block = shingle, percent, hashes, bits, band_rows, margin, rounds, block
         self.xor = rng.integers(0, 2**32, hashes, dtype=np.uint32)
@@ -84,6 +86,10 @@ class Scheme:
     def least(self) -> float:
         return self.percent / 100 - self.margin
 
+    @property
+    def promising(self) -> float:
+        return self.percent / 100 - self.margin / 4
+
 
 def _batches(batches, size: int):
     """(ids, sets, first) of pieces of each batch of (id, text)."""
@@ -122,15 +128,15 @@ def signatures(docs: DataFrame, s: Scheme) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")), F.col("text").cast("string")).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, f1 long, f2 long, sig binary, bands array<long>")
 
 
-def _likely(pairs: DataFrame, s: Scheme) -> DataFrame:
-    """Pairs (a, sig_a, b, sig_b) whose estimate doesn't rule them out."""
+def _likely(pairs: DataFrame, s: Scheme, least: float) -> DataFrame:
+    """Pairs (a, sig_a, b, sig_b) whose estimate is at least ``least``."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     sig = lambda c: np.frombuffer(b"".join(c.to_pylist()), U64).reshape(len(c), -1)
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                keep = pa.array(s.similarity(sig(batch.column(2)), sig(batch.column(3))) >= s.least)
+                keep = pa.array(s.similarity(sig(batch.column(2)), sig(batch.column(3))) >= least)
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], schema=schema)
 
     return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
@@ -176,10 +182,10 @@ def _link(classes: DataFrame, docs: DataFrame, s: Scheme) -> DataFrame:
         texts = cut(texts.groupBy("node").agg(F.first("text").alias("text")), "met-texts")
     links = roots = None
 
-    def settle(pairs: DataFrame) -> None:
+    def settle(pairs: DataFrame, least: float) -> None:
         nonlocal links, roots, members
         sig = lambda c: slim.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}"))
-        likely = cut(_likely(pairs.join(sig("a"), "a").join(sig("b"), "b"), s), "likely")
+        likely = cut(_likely(pairs.join(sig("a"), "a").join(sig("b"), "b"), s, least), "likely")
         found = cut(confirm(likely.join(likely.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "a"), texts, s), "links")
         links = found if links is None else links.unionByName(found)
         roots = components(links, "a", "b")
@@ -188,14 +194,14 @@ def _link(classes: DataFrame, docs: DataFrame, s: Scheme) -> DataFrame:
         members = cut(placed.join(mixed, "key", "left_semi"), "mixed")
 
     for k in range(s.rounds):
-        hub = members.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.col("node"), F.lit(k)).alias("o"), *members.drop("key").columns)).alias("h"))
+        hub = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key", F.lit(k)).alias("o"), *members.drop("key").columns)).alias("h"))
         root = F.col("root") if roots is not None else F.col("node")
         hub_root = F.col("h.root") if roots is not None else F.col("h.node")
         apart = members.join(hub.select("key", F.col("h.node").alias("hub"), hub_root.alias("hub_root")), "key").where(root != F.col("hub_root"))
-        settle(apart.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
+        settle(apart.select(F.col("hub").alias("a"), F.col("node").alias("b")).where("a <> b").distinct(), s.promising)
         if members.isEmpty():
             return roots
-    settle(_blocks(members, slim, s))
+    settle(_blocks(members, slim, s), s.least)
     return roots
 
 
