@@ -91,7 +91,7 @@ class Tree:
 
 
 def _each(skeletons: DataFrame, work: Callable[[Tree], pd.DataFrame], schema: str) -> DataFrame:
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node_id")
         parents = [None if pd.isna(p) else int(p) for p in pdf.parent_id]
         out = work(Tree(pdf.node_id.astype(int).tolist(), parents, pdf[["x", "y", "z"]].to_numpy(float)))

@@ -80,10 +80,10 @@ C_SQL = """c AS (SELECT label::BIGINT AS cloud_id, (row_number() OVER (PARTITION
   FROM (SELECT *, sqrt(embedding[4]::DOUBLE * embedding[4]::DOUBLE + embedding[5]::DOUBLE * embedding[5]::DOUBLE + embedding[6]::DOUBLE * embedding[6]::DOUBLE) AS n FROM embeddings))"""
 G_SQL = """l AS (SELECT l_suppkey AS cloud_id, (row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_discount) - 1)::INTEGER AS point_idx, l_quantity AS x, l_extendedprice / 2000 AS y, l_discount * 500 AS z FROM lineitem)"""
 M_SQL = C_SQL + """, near AS (SELECT q.cloud_id AS query_id, t.cloud_id AS target_id, q.point_idx AS point_idx,
-  arg_min({nbr: t.point_idx, d2: (q.x - t.x) * (q.x - t.x) + (q.y - t.y) * (q.y - t.y) + (q.z - t.z) * (q.z - t.z), dot: abs(q.tx * t.tx + q.ty * t.ty + q.tz * t.tz), both: sqrt(greatest(q.alpha, 0) * greatest(t.alpha, 0))},
+  arg_min({nbr: t.point_idx, d2: (q.x - t.x) * (q.x - t.x) + (q.y - t.y) * (q.y - t.y) + (q.z - t.z) * (q.z - t.z), dot: abs(q.tx * t.tx + q.ty * t.ty + q.tz * t.tz), al: sqrt(greatest(q.alpha, 0) * greatest(t.alpha, 0))},
     {d2: (q.x - t.x) * (q.x - t.x) + (q.y - t.y) * (q.y - t.y) + (q.z - t.z) * (q.z - t.z), nbr: t.point_idx}) AS m
   FROM c q JOIN c t ON q.cloud_id <> t.cloud_id GROUP BY 1, 2, 3),
-m AS (SELECT query_id, target_id, point_idx, m.nbr AS nbr_idx, sqrt(m.d2) AS dist, m.dot AS dot, m.dot * m.both AS adot FROM near)"""
+m AS (SELECT query_id, target_id, point_idx, m.nbr AS nbr_idx, sqrt(m.d2) AS dist, m.dot AS dot, m.dot * m.al AS adot FROM near)"""
 
 
 def _bin_sql(bounds, v):
