@@ -9,7 +9,7 @@
    rounds compare each member with one hub of the bucket that is not yet in its
    component. Every bucket has a hub of its own, so members of a large group meet
    many hubs and soon are one component. What still lies apart then is compared in
-   blocks, all against all, on packed signatures inside the tasks.
+   blocks, all against all, inside the tasks.
 4. The estimated similarity, corrected for chance agreement of low bits, drops
    only pairs that are more than ``margin`` below the threshold (in the rounds, which
    decide nothing for good, already a little below it); the rest are confirmed
@@ -40,7 +40,7 @@ U64 = np.uint64
 class Scheme:
     """Parameters of a search; ``shingle`` words, links at ``percent`` or more of Jaccard similarity."""
 
-    def __init__(self, shingle: int = 5, percent: int = 80, hashes: int = 128, bits: int = 4, band_rows: int = 4, margin: float = 0.2, rounds: int = 3, block: int = 256, seed: int = 7):
+    def __init__(self, shingle: int = 5, percent: int = 80, hashes: int = 128, bits: int = 4, band_rows: int = 4, margin: float = 0.2, rounds: int = 2, block: int = 256, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.shingle, self.percent, self.hashes, self.bits, self.band_rows, self.margin, self.rounds, self.block = shingle, percent, hashes, bits, band_rows, margin, rounds, block
         self.xor = rng.integers(0, 2**32, hashes, dtype=np.uint32)
@@ -91,15 +91,6 @@ class Scheme:
         return self.percent / 100 - self.margin / 4
 
 
-def _batches(batches, size: int):
-    """(ids, sets, first) of pieces of each batch of (id, text)."""
-    for batch in batches:
-        data, offsets = utf8(batch.column(1))
-        for a, b in pieces(offsets):
-            words = Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            yield (batch.column(0).slice(a, b - a), *shingles(words, size))
-
-
 def signatures(docs: DataFrame, s: Scheme) -> DataFrame:
     """doc_id, text_hash, n_shingles; for sets that aren't empty their fingerprint f1, f2, the packed signature and the band keys."""
     schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))])
@@ -128,15 +119,15 @@ def signatures(docs: DataFrame, s: Scheme) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")), F.col("text").cast("string")).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, f1 long, f2 long, sig binary, bands array<long>")
 
 
-def _likely(pairs: DataFrame, s: Scheme, least: float) -> DataFrame:
-    """Pairs (a, sig_a, b, sig_b) whose estimate is at least ``least``."""
+def _likely(pairs: DataFrame, s: Scheme) -> DataFrame:
+    """Pairs (a, sig_a, b, sig_b) whose estimate is promising."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     sig = lambda c: np.frombuffer(b"".join(c.to_pylist()), U64).reshape(len(c), -1)
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                keep = pa.array(s.similarity(sig(batch.column(2)), sig(batch.column(3))) >= least)
+                keep = pa.array(s.similarity(sig(batch.column(2)), sig(batch.column(3))) >= s.promising)
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], schema=schema)
 
     return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
@@ -175,17 +166,17 @@ def _link(classes: DataFrame, docs: DataFrame, s: Scheme) -> DataFrame:
     members = classes.select("node", F.explode("bands").alias("key"))
     shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     members = cut(members.join(shared, "key", "left_semi"), "bands")
-    met = classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "text_hash", "sig")
+    met = classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "text_hash", "sig", "bands")
     slim = cut(met, "met")
     texts = cut(_texts(slim, docs), "met-texts")
     if texts.count() > slim.count():  # rows that repeat id and text
         texts = cut(texts.groupBy("node").agg(F.first("text").alias("text")), "met-texts")
     links = roots = None
 
-    def settle(pairs: DataFrame, least: float) -> None:
+    def settle(pairs: DataFrame) -> None:
         nonlocal links, roots, members
         sig = lambda c: slim.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}"))
-        likely = cut(_likely(pairs.join(sig("a"), "a").join(sig("b"), "b"), s, least), "likely")
+        likely = cut(_likely(pairs.join(sig("a"), "a").join(sig("b"), "b"), s), "likely")
         found = cut(confirm(likely.join(likely.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "a"), texts, s), "links")
         links = found if links is None else links.unionByName(found)
         roots = components(links, "a", "b")
@@ -198,11 +189,11 @@ def _link(classes: DataFrame, docs: DataFrame, s: Scheme) -> DataFrame:
         root = F.col("root") if roots is not None else F.col("node")
         hub_root = F.col("h.root") if roots is not None else F.col("h.node")
         apart = members.join(hub.select("key", F.col("h.node").alias("hub"), hub_root.alias("hub_root")), "key").where(root != F.col("hub_root"))
-        settle(apart.select(F.col("hub").alias("a"), F.col("node").alias("b")).where("a <> b").distinct(), s.promising)
+        settle(apart.select(F.col("hub").alias("a"), F.col("node").alias("b")).where("a <> b").distinct())
         if members.isEmpty():
             return roots
-    settle(_blocks(members, slim, s), s.least)
-    return roots
+    found = cut(_blocks(members, slim, texts, s), "links")
+    return components(links.unionByName(found), "a", "b")
 
 
 def _texts(nodes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -212,36 +203,49 @@ def _texts(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return docs.join(nodes, ["text_hash", "d"]).select("node", "text")
 
 
-def _blocks(members: DataFrame, slim: DataFrame, s: Scheme) -> DataFrame:
-    """Pairs of a bucket that lie in different components and whose estimate is high, from blocks of its members.
+def _blocks(members: DataFrame, slim: DataFrame, texts: DataFrame, s: Scheme) -> DataFrame:
+    """Confirmed links between members of a bucket that still lie in different components.
 
     Most members of a bucket are in its largest component by then. The others are
-    dealt into blocks of queries, all members into blocks of targets; a task holds
-    a block of each and hands on only likely pairs.
+    dealt into blocks of queries, all members into blocks of targets. A task holds a
+    block of each with their texts, confirms likely pairs itself and hands on only
+    links, for each query one to a component. A pair is looked at in the first band
+    that it shares.
     """
     by_root = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     total = by_root.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all")).select("key", F.col("top.root").alias("top"), (F.col("all") - F.col("top.n")).alias("few"), "all")
-    rows = members.join(total, "key").join(slim, "node")
+    placed = members.join(total, "key")
     count = lambda c: (F.col(c) / F.lit(s.block)).cast("int") + 1
     place = lambda c: F.pmod(F.xxhash64("node", F.lit(1)), count(c)).cast("int")
-    queries = rows.where("root <> top").select("key", place("few").alias("q"), F.explode(F.sequence(F.lit(0), count("all") - 1)).alias("t"), "node", "root", "sig", F.lit(True).alias("asks"))
-    targets = rows.select("key", F.explode(F.sequence(F.lit(0), count("few") - 1)).alias("q"), place("all").alias("t"), "node", "root", "sig", F.lit(False).alias("asks"))
+    queries = placed.where("root <> top").select("key", place("few").alias("q"), F.explode(F.sequence(F.lit(0), count("all") - 1)).alias("t"), "node", "root", F.lit(True).alias("asks"))
+    targets = placed.select("key", F.explode(F.sequence(F.lit(0), count("few") - 1)).alias("q"), place("all").alias("t"), "node", "root", F.lit(False).alias("asks"))
+    rows = queries.union(targets).join(slim.select("node", "sig", "bands"), "node").join(texts, "node")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(group: pa.Table) -> pa.Table:
-        asks = group.column("asks").to_numpy(zero_copy_only=False)
+        key, asks = group.column("key")[0].as_py(), group.column("asks").to_numpy(zero_copy_only=False)
         node, root = group.column("node").to_numpy(), group.column("root").to_numpy()
         sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), U64).reshape(len(node), -1)
-        a, b = [], []
-        there = np.flatnonzero(~asks)
+        bands = group.column("bands").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+        band = int(np.flatnonzero(bands[0] == key)[0])
+        data, offsets = utf8(group.column("text").combine_chunks())
+        sets, first = shingles(Words(data, offsets), s.shingle)
+        size, there, out = np.diff(first), np.flatnonzero(~asks), []
         for i in np.flatnonzero(asks):
-            near = there[(s.similarity(sig[i], sig[there]) >= s.least) & (root[there] != root[i])]
-            a.append(np.minimum(node[near], node[i]))
-            b.append(np.maximum(node[near], node[i]))
-        join = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
-        return pa.table([join(a), join(b)], schema=schema)
-
-    return queries.union(targets).groupBy("key", "q", "t").applyInArrow(run, "a long, b long").distinct()
+            small, large = np.minimum(size[i], size[there]), np.maximum(size[i], size[there])
+            near = there[(root[there] != root[i]) & (100 * small >= s.percent * large)]
+            near = near[~(bands[near, :band] == bands[i, :band]).any(1)]
+            alike = s.similarity(sig[i], sig[near])
+            linked: set[int] = set()
+            for j in near[np.argsort(-alike, kind="stable")][: int((alike >= s.least).sum())]:
+                if root[j] not in linked:
+                    both = np.intersect1d(sets[first[i] : first[i + 1]], sets[first[j] : first[j + 1]], assume_unique=True).size
+                    if 100 * both >= s.percent * (size[i] + size[j] - both):
+                        linked.add(root[j])
+                        out.append((node[i], node[j]))
+        return pa.table([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], schema=schema)
+
+    return rows.groupBy("key", "q", "t").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, scheme: Scheme | None = None) -> DataFrame:
