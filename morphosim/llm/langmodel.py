@@ -47,7 +47,7 @@ FIT, HELD, TEST = 0, 1, 2
 @dataclass(frozen=True)
 class Settings:
     head: int = 32768
-    pair_head: int = 4096
+    pair_head: int = 2048
     folds: int = 8
     rounds: int = 25
     buckets: int = 8
