@@ -1,24 +1,27 @@
-"""Deleted interpolation: n-gram estimates over word classes, mixed by context-frequency buckets.
+"""Deleted interpolation: word n-grams of orders 0 to 2, mixed by context-frequency buckets.
 
 Tokens are the words of a text, lower-cased, then an end. Symbols are the training
-tokens and one unknown token. The most frequent ``pair_head - 1`` training tokens are
-a class each, all other symbols share one. The model:
+tokens and one unknown token. A text starts after an end. The model:
 
-    P(w | h) = P(class(w) | class(h)) * P(w | class(w))
-    P(c | h) = l2 * N(h, c)/N(h) + l1 * N(c)/N + l0 / classes
-    P(w | shared class) = m * N(w)/N(shared), and 1 - m for the unknown token
+    P(w | h) = l2 * N(h, w)/N(h) + l1 * P(w) + l0 / symbols
+    P(w) = m * N(w)/N, and 1 - m for the unknown token
 
 The weights l depend on how frequent the context h is (a bucket of its count's
-logarithm) and are learned by expectation-maximisation on held-out counts: one
-training document in ``folds`` is kept apart, the counts of the others give the
-estimates, its counts the likelihood; m is the share of held-out tokens of the shared
-class that the others know. For scoring, both are added up. The probabilities of all
-symbols after a context sum to 1, over the same symbols as the base score's.
-
-Sizes: the head of ``head`` tokens and the class pairs (``pair_head`` squared) have
-bounds that don't grow with the corpus; only these are collected and broadcast. The
-table of all training words does grow: it stays in Parquet and is joined. Head
-tokens never reach that join, so its keys are rare.
+logarithm; l2 is 0 after a context never seen) and are learned by
+expectation-maximisation on held-out counts: one training document in ``folds`` is
+kept apart, the counts of the others give the estimates, its counts the likelihood; m
+is the share of held-out tokens that the others know. For scoring, both are added up.
+The probabilities of all symbols after a context sum to 1, over the same symbols as
+the base score's.
+
+Sizes: every pair of words is counted. The head of ``head`` tokens and the counts of
+pairs of two of the ``pair_head - 1`` commonest have bounds that don't grow with the
+corpus; only these and the sums of the expectation step are collected, only these and
+the weights broadcast. All other pairs grow with the corpus: each document's are dealt
+once into buckets, by the word beyond the head or else by the pair, where they are
+counted and looked up; the counts found stay in Parquet. Pairs of two common words
+never get there, so its keys are rare. A pair of two words beyond the head gets its
+context's count from the Parquet table of all words.
 
 Defined cases: a null text is empty and has the end token alone; a null id counts
 as the empty text for the split; repeated rows are scored (and learned from) each;
@@ -36,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import cut, doc_crc, small_batches, table
+from ._shared import buckets_for, cut, doc_crc, remove, small_batches, table
 from ._textkernel import Words, as_long, mix, pieces, utf8
 
 U64 = np.uint64
@@ -53,17 +56,18 @@ class Settings:
     buckets: int = 8
 
 
-def _em(parts: np.ndarray, bucket: np.ndarray, weight: np.ndarray, buckets: int, rounds: int) -> np.ndarray:
-    """Mixture weights for each bucket. parts: events x estimates; weight: held-out counts."""
-    lam = np.full((buckets, parts.shape[1]), 1 / parts.shape[1])
-    for _ in range(rounds if len(parts) else 0):
-        share = lam[bucket] * parts
-        share *= (weight / np.maximum(share.sum(1), 1e-300))[:, None]
-        total = np.stack([np.bincount(bucket, share[:, k], buckets) for k in range(parts.shape[1])], 1)
+def _em(expect, buckets: int, rounds: int) -> np.ndarray:
+    """Mixture weights (order 0, 1, 2) for each bucket. expect: from weights to the held-out counts' shares, both buckets x orders."""
+    lam = np.full((buckets, 3), 1 / 3)
+    for _ in range(rounds):
+        total = expect(lam)
         seen = total.sum(1) > 0
+        if not seen.any():
+            break
         # a little of every estimate stays, so nothing becomes impossible
         lam[seen] = (total[seen] + 0.5) / (total[seen] + 0.5).sum(1, keepdims=True)
-    return lam
+    lam[0, 2] = 0  # a context never seen has no pairs
+    return lam / lam.sum(1, keepdims=True)
 
 
 def _bucket(count: np.ndarray, buckets: int) -> np.ndarray:
@@ -72,17 +76,20 @@ def _bucket(count: np.ndarray, buckets: int) -> np.ndarray:
 
 
 class Head:
-    """The classes: sorted hashes of the frequent tokens; class 0 is the rare ones'."""
+    """Sorted hashes of the frequent tokens with their counts; the most frequent of them are a class each, class 0 is all others."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, pair_head: int):
-        order = np.argsort(hashes)
-        self.hashes, self.counts = hashes[order], np.concatenate([[0], counts[order]])
+    def __init__(self, hashes: np.ndarray, fit: np.ndarray, held: np.ndarray, pair_head: int):
+        order, counts = np.argsort(hashes), fit + held
+        self.hashes, self.fit, self.counts = hashes[order], fit[order], counts[order]
         rank = np.argsort(-counts, kind="stable")[: pair_head - 1]
         number = np.zeros(len(hashes), np.int64)
         number[rank] = np.arange(1, len(rank) + 1)
         self.pair_class = np.concatenate([[0], number[order]])
+        self.at = np.zeros(pair_head, np.int64)  # each class's place in the head
+        self.at[number[order][number[order] > 0]] = np.flatnonzero(number[order])
 
     def of(self, hashes: np.ndarray) -> np.ndarray:
+        """One more than each token's place, 0 beyond the head."""
         if not len(self.hashes):
             return np.zeros(len(hashes), np.int64)
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
@@ -121,90 +128,198 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def pair_counts(docs: DataFrame, head, s: Settings) -> DataFrame:
-    """cell (context class and class), fit, held: the counts of class pairs."""
+    """cell (context class and class), fit, held: the counts of pairs of two common words."""
     schema = pa.schema([("cell", pa.int64()), ("fit", pa.int64()), ("held", pa.int64())])
 
     def run(batches):
         for batch in batches:
             for a, b, words in _texts(batch, 1):
                 held = batch.column(0)[a:b].to_numpy() == HELD
-                before, after, row = _pairs(words, head.value.pair_class[head.value.of(words.hash)], head.value)
-                cells, at = np.unique(before * s.pair_head + after, return_inverse=True)
-                n, h = np.bincount(at, minlength=len(cells)), np.bincount(at, held[row], len(cells)).astype(np.int64)
+                before, after, row = _pairs(words, head.value.of(words.hash), head.value.of(np.array([END], U64))[0])
+                before, after = head.value.pair_class[before], head.value.pair_class[after]
+                both = (before > 0) & (after > 0)
+                cells, at = np.unique(before[both] * s.pair_head + after[both], return_inverse=True)
+                n, h = np.bincount(at, minlength=len(cells)), np.bincount(at, held[row[both]], len(cells)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(n - h), pa.array(h)], schema=schema)
 
     return docs.where(F.col("part") != TEST).select("part", "text").mapInArrow(run, "cell long, fit long, held long").groupBy("cell").agg(F.sum("fit").alias("fit"), F.sum("held").alias("held"))
 
 
-def _pairs(words: Words, classes: np.ndarray, head: Head) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Context class, class and row of every token, the ends after the words. A text starts after an end."""
-    end = head.pair_class[head.of(np.array([END], U64))][0]
-    before = np.concatenate([np.zeros(1, np.int64), classes[:-1]]) if len(classes) else classes
-    starts = words.first[:-1][words.count > 0]
-    before[starts] = end
-    last = np.where(words.count > 0, classes[np.maximum(words.first[1:] - 1, 0)] if len(classes) else end, end)
-    return np.concatenate([before, last]), np.concatenate([classes, np.full(words.rows, end)]), np.concatenate([words.row, np.arange(words.rows)])
+def _pairs(words: Words, of: np.ndarray, end) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Context, symbol and row of every token, the ends after the words, given the words' and the end's symbols. A text starts after an end."""
+    before = np.concatenate([of[:1], of[:-1]])
+    before[words.first[:-1][words.count > 0]] = end
+    last = np.full(words.rows, end, of.dtype)
+    last[words.count > 0] = of[words.first[1:][words.count > 0] - 1]
+    return np.concatenate([before, last]), np.concatenate([of, np.full(words.rows, end, of.dtype)]), np.concatenate([words.row, np.arange(words.rows)])
+
+
+def _key(before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    return mix(mix(before.view(U64)) * U64(0x9E3779B97F4A7C15) + after.view(U64))
+
+
+def met_pairs(docs: DataFrame, head, s: Settings, buckets: int) -> DataFrame:
+    """row, n, pair, word, context, beyond: what training holds of each pair of each row, but those of two common words.
 
+    Counts are of all training documents: of the pair, its word and its context, which
+    is null where only the table of all words tells, by the hash ``beyond``. Rows
+    with a null row have the held-out counts of a pair as n, the others' counts beside it.
 
+    A word's bucket has every place where that word stands, so tells its own count too.
+    """
+    dealt = pa.schema([("bucket", pa.int32()), ("row", pa.int64()), ("part", pa.int32()), ("h", pa.int64()), ("w", pa.int64()), ("n", pa.int32())])
+    schema = pa.schema([("row", pa.int64()), ("n", pa.int64()), ("pair", pa.int64()), ("word", pa.int64()), ("context", pa.int64()), ("beyond", pa.int64())])
+
+    def deal(batches):
+        m = head.value
+        for batch in batches:
+            for a, b, words in _texts(batch, 2):
+                hashes = np.concatenate([words.hash, np.array([END], U64)])
+                at = m.of(hashes)
+                code = np.where(at > 0, at - 1, as_long(hashes))  # head tokens by place, short to write
+                before, after, row = _pairs(words, np.arange(len(words.hash)), len(words.hash))
+                rest = np.flatnonzero((m.pair_class[at[before]] == 0) | (m.pair_class[at[after]] == 0))
+                before, after, row = before[rest], after[rest], row[rest]
+                h, w, far_h, far_w = code[before], code[after], at[before] == 0, at[after] == 0
+                key = _key(h, w)
+                home = np.where(far_w, mix(w.view(U64)), np.where(far_h, mix(h.view(U64)), key)) % U64(buckets)
+                order = np.lexsort((key, row))
+                key, of = key[order], row[order]
+                new = np.ones(len(of), bool)
+                new[1:] = (key[1:] != key[:-1]) | (of[1:] != of[:-1])
+                first = np.flatnonzero(new)
+                n, i, r = np.diff(np.concatenate([first, [len(of)]])), order[first], of[first]
+                columns = [home[i].astype(np.int32), batch.column(0)[a:b].to_numpy()[r], batch.column(1)[a:b].to_numpy()[r].astype(np.int32), h[i], w[i], n.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=dealt)
+
+    def count(group: pa.Table) -> pa.Table:
+        m = head.value
+        row, part, h, w, n = (group.column(c).to_numpy() for c in ("row", "part", "h", "w", "n"))
+        fit, held, k = n * (part == FIT), n * (part == HELD), len(m.hashes)
+        near = lambda x: (x >= 0) & (x < k)
+        near_h, near_w = near(h), near(w)
+        pairs, first, pair = np.unique(_key(h, w), return_index=True, return_inverse=True)
+        words, word = np.unique(w, return_inverse=True)
+        whole = lambda x, of, size: np.bincount(of, x, size).astype(np.int64)
+        pair_fit, pair_held = whole(fit, pair, len(pairs)), whole(held, pair, len(pairs))
+        word_fit, word_held = whole(fit, word, len(words)), whole(held, word, len(words))
+        own = np.searchsorted(words, h).clip(max=max(len(words) - 1, 0))  # a lone far context's places as a word are here too
+        head_fit, head_all = np.append(m.fit, 0), np.append(m.counts, 0)
+        far = ~near_h & ~near_w
+        place = lambda x, ok: np.where(ok, x, k)
+
+        def table(i, row, n, pair, of_head, of_word):
+            w_count = np.where(near_w[i], of_head[place(w[i], near_w[i])], of_word[word[i]])
+            h_count = np.where(near_h[i], of_head[place(h[i], near_h[i])], of_word[own[i]])
+            return pa.table([row, pa.array(n.astype(np.int64)), pa.array(pair), pa.array(w_count), pa.array(h_count, mask=far[i]), pa.array(h[i], mask=~far[i])], schema=schema)
+
+        events = np.flatnonzero(pair_held)
+        return pa.concat_tables([
+            table(np.arange(len(row)), pa.array(row), n, (pair_fit + pair_held)[pair], head_all, word_fit + word_held),
+            table(first[events], pa.nulls(len(events), pa.int64()), pair_held[events], pair_fit[events], head_fit, word_fit),
+        ])
+
+    places = docs.select("row", "part", "text").mapInArrow(deal, "bucket int, row long, part int, h long, w long, n int")
+    return places.groupBy("bucket").applyInArrow(count, "row long, n long, pair long, word long, context long, beyond long")
+
+
+def _placed(met: DataFrame, counts: DataFrame, value) -> DataFrame:
+    """row, n, pair, word, context of ``met``, the missing contexts looked up."""
+    far = met.where("context is null").drop("context").join(counts.select(F.col("hash").alias("beyond"), value.alias("context")), "beyond", "left").withColumn("context", F.coalesce("context", F.lit(0)))
+    names = ["row", "n", "pair", "word", "context"]
+    return met.where("context is not null").select(*names).unionByName(far.select(*names))
+
+
+def _bucket_column(count, buckets: int):
+    """``_bucket`` as a Column."""
+    return F.when(count > 0, F.least(F.lit(1) + ((F.length(F.bin(count)) - 1) / 2).cast("int"), F.lit(buckets - 1))).otherwise(0)
+
+
+@dataclass
 class Model:
-    """Everything a task needs to score tokens, but the counts of those beyond the head."""
-
-    def __init__(self, s: Settings, head: Head, total: int, distinct: int, known: float, cell: np.ndarray, fit: np.ndarray, held: np.ndarray):
-        self.s, self.head, self.total, self.distinct, self.known, self.cells = s, head, total, distinct, known, cell
-        self.shared = max(total - int(head.counts[head.pair_class > 0].sum()), 1)
-        self._fill(fit)
-        some = held > 0
-        parts, bucket = self.parts(cell[some] // s.pair_head, cell[some] % s.pair_head)
-        self.lam = _em(parts, bucket, held[some].astype(float), s.buckets, s.rounds)
-        self._fill(fit + held)
-
-    def _fill(self, counts: np.ndarray) -> None:
-        k = self.s.pair_head
-        self.n, self.context_n = counts.astype(np.float64), np.bincount(self.cells // k, counts, k)
-        one = np.bincount(self.cells % k, counts, k)
-        self.one = one / max(one.sum(), 1)
-
-    def parts(self, before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Uniform, single and pair estimates of each class after its context, and the context's bucket."""
-        size, wanted = self.context_n[before], before * self.s.pair_head + after
-        two = np.zeros(len(before))
+    """Totals of the training tokens, the known share of new ones and the weights."""
+
+    total: int
+    distinct: int
+    known: float
+    lam: np.ndarray | None = None
+
+    def parts(self, pair: np.ndarray, word: np.ndarray, context: np.ndarray) -> list[np.ndarray]:
+        """Estimates of order 0, 1, 2 from counts."""
+        one = np.where(word > 0, self.known * word / max(self.total, 1), 1 - self.known)
+        return [np.full(len(pair), 1 / (self.distinct + 1)), one, pair / np.maximum(context, 1)]
+
+    def part_columns(self) -> list:
+        one = F.when(F.col("word") > 0, F.lit(float(self.known / max(self.total, 1))) * F.col("word")).otherwise(F.lit(float(1 - self.known)))
+        return [F.lit(1 / (self.distinct + 1)), one, F.col("pair") / F.greatest("context", F.lit(1))]
+
+
+def _weights(lam: np.ndarray, k: int, bucket: str = "bucket"):
+    return F.element_at(F.array(*[F.lit(float(x)) for x in lam[:, k]]), F.col(bucket) + 1)
+
+
+class Common:
+    """The pairs of two common words: sorted cells and their counts."""
+
+    def __init__(self, s: Settings, head: Head, cell: np.ndarray, fit: np.ndarray, held: np.ndarray):
+        self.s, self.head, self.cells, self.fit, self.held = s, head, cell, fit, held
+        self.n = fit + held
+
+    def events(self, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Estimates, bucket and held-out count of each cell that was held out."""
+        some = self.held > 0
+        h, w = (self.head.at[x] for x in (self.cells[some] // self.s.pair_head, self.cells[some] % self.s.pair_head))
+        return np.stack(model.parts(self.fit[some], self.head.fit[w], self.head.fit[h]), 1), _bucket(self.head.fit[h], self.s.buckets), self.held[some].astype(float)
+
+    def score(self, words: Words, model: Model):
+        """Each row's sums of base, score and known tokens over its pairs of two common words."""
+        at = self.head.of(np.concatenate([words.hash, np.array([END], U64)]))
+        before, after, row = _pairs(words, at[:-1], at[-1])
+        both = np.flatnonzero((self.head.pair_class[before] > 0) & (self.head.pair_class[after] > 0))
+        before, after, row = before[both], after[both], row[both]
+        context, word = (self.head.counts[x - 1] for x in (before, after)) if len(both) else (before, after)
+        wanted, pair = self.head.pair_class[before] * self.s.pair_head + self.head.pair_class[after], np.zeros(len(both), np.int64)
         if len(self.cells):
-            at = np.minimum(np.searchsorted(self.cells, wanted), len(self.cells) - 1)
-            two = np.where(self.cells[at] == wanted, self.n[at], 0.0) / np.maximum(size, 1)
-        return np.stack([np.full(len(before), 1 / self.s.pair_head), self.one[after], two], 1), _bucket(size, self.s.buckets)
-
-    def score(self, words: Words):
-        """Each row's sums of base, score and known tokens as far as the head tells; and its distinct tokens beyond: row, hash, how often."""
-        at = self.head.of(np.concatenate([words.hash, np.full(words.rows, END, U64)]))
-        before, after, row = _pairs(words, self.head.pair_class[at[: len(words.hash)]], self.head)
-        parts, bucket = self.parts(before, after)
-        score, count = np.log10((self.lam[bucket] * parts).sum(1)), self.head.counts[at]
-        mine = (after == 0) & (at > 0)
-        score[mine] += np.log10(self.known * count[mine] / self.shared)
-        base = np.where(at > 0, np.log10((count + 1) / (self.total + self.distinct + 1)), 0.0)
-        sums = [np.bincount(row, x, words.rows) for x in (base, score, at > 0)]
-        out = np.flatnonzero(at == 0)
-        hashes = np.concatenate([words.hash, np.full(words.rows, END, U64)])[out]
-        order = np.lexsort((hashes, row[out]))
-        hashes, of = hashes[order], row[out][order]
-        new = np.ones(len(of), bool)
-        new[1:] = (hashes[1:] != hashes[:-1]) | (of[1:] != of[:-1])
-        first = np.flatnonzero(new)
-        return sums, (of[first], hashes[first], np.diff(np.concatenate([first, [len(of)]])))
-
-
-def train(docs: DataFrame, counts: DataFrame, s: Settings) -> Model:
+            place = np.minimum(np.searchsorted(self.cells, wanted), len(self.cells) - 1)
+            pair = np.where(self.cells[place] == wanted, self.n[place], 0)
+        lam = model.lam[_bucket(context, self.s.buckets)]
+        score = np.log10(sum(lam[:, k] * p for k, p in enumerate(model.parts(pair, word, context))))
+        return [np.bincount(row, x, words.rows) for x in (np.log10((word + 1) / (model.total + model.distinct + 1)), score, word > 0)]
+
+
+def train(docs: DataFrame, counts: DataFrame, s: Settings) -> tuple[Model, Common, DataFrame]:
+    """The model, the common pairs and every other pair that a row of ``docs`` has, with its counts."""
     spark = docs.sparkSession
-    total, distinct = counts.agg(F.coalesce(F.sum(F.col("fit") + F.col("held")), F.lit(0)), F.count(F.lit(1))).first()
-    top = counts.select("hash", (F.col("fit") + F.col("held")).alias("n")).orderBy(F.desc("n"), "hash").limit(s.head).collect()  # at most ``head`` rows
-    head = Head(np.array([r["hash"] for r in top], np.int64).view(U64), np.array([r["n"] for r in top], np.int64), s.pair_head)
-    classes = spark.createDataFrame([(r["hash"],) for r in top[: s.pair_head - 1]], "hash long")
-    shared = counts.where("held > 0").join(F.broadcast(classes), "hash", "left_anti")  # at most ``pair_head`` rows
-    seen, held = shared.agg(F.coalesce(F.sum(F.when(F.col("fit") > 0, F.col("held"))), F.lit(0)), F.coalesce(F.sum("held"), F.lit(0))).first()
-    pairs = pair_counts(docs, spark.sparkContext.broadcast(head), s).toArrow()  # at most pair_head ** 2 rows
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    fits, held, distinct, fit_distinct, seen = counts.agg(zero("fit"), zero("held"), F.count(F.lit(1)), F.count(F.when(F.col("fit") > 0, 1)), zero(F.when(F.col("fit") > 0, F.col("held")))).first()
+    top = counts.orderBy(F.desc(F.col("fit") + F.col("held")), "hash").limit(s.head).collect()  # at most ``head`` rows
+    head = Head(np.array([r["hash"] for r in top], np.int64).view(U64), *(np.array([r[c] for r in top], np.int64) for c in ("fit", "held")), s.pair_head)
+    sent = spark.sparkContext.broadcast(head)
+    pairs = pair_counts(docs, sent, s).toArrow()  # at most pair_head ** 2 rows
     cell, fit, n = (pairs.column(c).to_numpy() for c in ("cell", "fit", "held"))
     order = np.argsort(cell)
-    return Model(s, head, total, distinct, (seen + 1) / (held + 2), cell[order], fit[order], n[order])
+    common = Common(s, head, cell[order], fit[order], n[order])
+    met = cut(met_pairs(docs, sent, s, buckets_for(fits + held, 200_000, 16)), "met-pairs")
+    known = (seen + 1) / (held + 2) if fits else 0.0
+    apart = Model(fits, fit_distinct, known)
+    # exact: held-out pairs with the same estimates and bucket are one row
+    events = _placed(met.where("row is null"), counts, F.col("fit")).withColumn("bucket", _bucket_column(F.col("context"), s.buckets)).withColumn("context", F.when(F.col("pair") > 0, F.col("context")).otherwise(0))
+    events = cut(events.groupBy("bucket", "pair", "word", "context").agg(F.sum("n").alias("n")), "held-pairs")
+    parts, bucket, weight = common.events(apart)
+
+    def expect(lam: np.ndarray) -> np.ndarray:
+        share = lam[bucket] * parts
+        share *= (weight / np.maximum(share.sum(1), 1e-300))[:, None]
+        total = np.stack([np.bincount(bucket, share[:, k], s.buckets) for k in range(3)], 1).astype(float)
+        p = [_weights(lam, k) * x for k, x in enumerate(apart.part_columns())]
+        scale = F.col("n") / F.greatest(p[0] + p[1] + p[2], F.lit(1e-300))
+        for r in events.groupBy("bucket").agg(*[F.sum(x * scale) for x in p]).collect():  # at most ``buckets`` rows
+            total[r["bucket"]] += r[1:]
+        return total
+
+    lam = _em(expect, s.buckets, s.rounds)
+    remove(spark, events)
+    return Model(fits + held, distinct, known if fits + held else 0.0, lam), common, met
 
 
 def score(docs: DataFrame, s: Settings | None = None) -> DataFrame:
@@ -213,34 +328,29 @@ def score(docs: DataFrame, s: Settings | None = None) -> DataFrame:
     small_batches(spark)
     docs = _numbered(docs)
     counts = cut(word_counts(docs), "word-counts")
-    trained = train(docs, counts, s)
-    model = spark.sparkContext.broadcast(trained)
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("test", pa.bool_()), ("hash", pa.int64()), ("n", pa.int32()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
+    model, common, met = train(docs, counts, s)
+    sent = spark.sparkContext.broadcast((model, common))
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("test", pa.bool_()), ("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
 
     def run(batches):
-        m = model.value
+        m, pairs = sent.value
         for batch in batches:
             for a, b, words in _texts(batch, 3):
-                rows = batch.column(0)[a:b].to_numpy()
-                (base, total, known), (row, hashes, n) = m.score(words)
+                base, total, known = pairs.score(words, m)
                 test = batch.column(2)[a:b].to_numpy() == TEST
-                own = as_long(mix(rows.astype(U64) ^ U64(0xABCDEF)))  # a document's own row goes to any partition
-                yield pa.RecordBatch.from_arrays([pa.array(rows), batch.column(1).slice(a, b - a), pa.array(test), pa.array(own), pa.array((words.count + 1).astype(np.int32)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(total)], schema=schema)
-                nothing = [pa.nulls(len(row), schema.field(c).type) for c in ("doc_id", "test", "known", "base", "score")]
-                yield pa.RecordBatch.from_arrays([pa.array(rows[row]), *nothing[:2], pa.array(as_long(hashes)), pa.array(n.astype(np.int32)), *nothing[2:]], schema=schema)
-
-    scored = docs.select("row", "doc_id", "part", "text").mapInArrow(run, "row long, doc_id long, test boolean, hash long, n int, known long, base double, score double")
-    found = scored.join(counts.select("hash", (F.col("fit") + F.col("held")).alias("c")), "hash", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    own = F.col("known").isNotNull()
-    symbol = F.when(F.col("c") > 0, F.log10(F.lit(trained.known) * F.col("c") / F.lit(float(trained.shared)))).otherwise(F.log10(F.lit(1 - trained.known)))
-    floor = F.lit(float(trained.total + trained.distinct + 1))
-    return found.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.max("test").alias("held_out"),
-        F.sum(F.when(own, F.col("n")).otherwise(0)).cast("long").alias("n_tokens"),
-        F.sum(F.when(own, F.col("known")).when(F.col("c") > 0, F.col("n")).otherwise(0)).cast("long").alias("n_known"),
-        F.lit(int(trained.total)).cast("long").alias("train_tokens"),
-        F.sum(F.when(own, F.col("base")).otherwise(F.col("n") * F.log10((F.col("c") + 1) / floor))).alias("base_score"),
-        F.sum(F.when(own, F.col("score")).otherwise(F.col("n") * symbol)).alias("score"),
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(test), pa.array((words.count + 1).astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(total)], schema=schema)
+
+    own = docs.select("row", "doc_id", "part", "text").mapInArrow(run, "row long, doc_id long, test boolean, n long, known long, base double, score double")
+    rest = _placed(met.where("row is not null"), counts, F.col("fit") + F.col("held")).withColumn("bucket", _bucket_column(F.col("context"), s.buckets))
+    p = [_weights(model.lam, k) * x for k, x in enumerate(model.part_columns())]
+    floor = F.lit(float(model.total + model.distinct + 1))
+    rest = rest.select(
+        "row", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("test"), F.lit(0).cast("long").alias("n"), F.when(F.col("word") > 0, F.col("n")).otherwise(0).alias("known"),
+        (F.col("n") * F.log10((F.col("word") + 1) / floor)).alias("base"), (F.col("n") * F.log10(p[0] + p[1] + p[2])).alias("score"),
+    )
+    return own.unionByName(rest).groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"), F.max("test").alias("held_out"), F.sum("n").alias("n_tokens"), F.sum("known").alias("n_known"),
+        F.lit(int(model.total)).cast("long").alias("train_tokens"), F.sum("base").alias("base_score"), F.sum("score").alias("score"),
     ).drop("row")
 
 

@@ -154,6 +154,38 @@ def test_language_model(spark, texts):
     assert langmodel.score(docs_of(spark, [])).count() == 0
 
 
+def test_language_model_counts_every_pair(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(f"v{x}" for x in rng.zipf(1.3, 30) % 60)) for i in range(60)] + [(60, None), (61, "v1 unseen v1 v2"), (65, "never met")]
+    parts = lambda d: (zlib.crc32(str(d).encode()) % 7 == 2, zlib.crc32(str(d).encode()) // 7 % 8 == 0)
+    one, pairs = [Counter(), Counter()], [Counter(), Counter()]
+    steps = lambda t: list(itertools.pairwise([None, *words(t), None]))
+    for d, t in rows:
+        test, held = parts(d)
+        if not test:
+            one[held].update(w for _, w in steps(t))
+            pairs[held].update(steps(t))
+    bucket = lambda n: min(1 + (n.bit_length() - 1) // 2, 7) if n else 0
+    known = (sum(n for w, n in one[1].items() if one[0][w]) + 1) / (one[1].total() + 2)
+    estimates = lambda c, c2, h, w: np.array([1 / (len(+c) + 1), known * c[w] / c.total() if c[w] else 1 - known, c2[h, w] / max(c[h], 1)])
+    lam = np.full((8, 3), 1 / 3)
+    for _ in range(25):
+        total = np.zeros((8, 3))
+        for (h, w), n in pairs[1].items():
+            b = bucket(one[0][h])
+            x = lam[b] * estimates(one[0], pairs[0], h, w)
+            total[b] += n * x / x.sum()
+        seen = total.sum(1) > 0
+        lam[seen] = (total[seen] + 0.5) / (total[seen] + 0.5).sum(1, keepdims=True)
+    lam[0, 2] = 0
+    lam /= lam.sum(1, keepdims=True)
+    whole, both = one[0] + one[1], pairs[0] + pairs[1]
+    want = {d: sum(np.log10((lam[bucket(whole[h])] * estimates(whole, both, h, w)).sum()) for h, w in steps(t)) for d, t in rows}
+    for head, pair_head in ((1, 1), (20, 5)):  # where a word is counted changes no score
+        got = {r.doc_id: r.score for r in langmodel.score(docs_of(spark, rows), langmodel.Settings(head=head, pair_head=pair_head)).collect()}
+        assert got == pytest.approx(want, abs=1e-6)
+
+
 def test_quality(spark):
     rng = np.random.default_rng(2)
     good = [" ".join("".join(rng.choice(list("abcdefgh"), rng.integers(2, 9))) for _ in range(40)) for _ in range(150)]
