@@ -2,7 +2,8 @@
 
 A candidate is a run of at least ``LEAST`` characters that tokens and keys are
 written with. The network reads the characters before it, its own and those after
-it, and is trained in numpy on labelled findings: candidates of the corpus, labelled
+it; over a longer run than ``INSIDE`` it slides in steps of half of that, and its largest
+score counts. It is trained in numpy on labelled findings: candidates of the corpus, labelled
 by the fixed patterns (a bounded sample, by hash), and made-up keys, names,
 addresses and paths of other kinds. Its score is calibrated on findings it wasn't
 trained on, and the threshold is the highest that still finds ``recall`` of those
@@ -61,6 +62,16 @@ def windows(data: np.ndarray, start: np.ndarray, end: np.ndarray, low: np.ndarra
     return np.where(ok, CLASS[data[np.clip(place, 0, max(len(data) - 1, 0))]] if len(data) else PAD, PAD)
 
 
+def slices(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Overlapping parts of at most ``INSIDE`` bytes that cover every candidate whole: their candidate, start and end."""
+    step = INSIDE // 2
+    count = 1 + np.maximum(0, -(-(end - start - INSIDE) // step))
+    which = np.repeat(np.arange(len(start)), count)
+    place = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+    low = np.maximum(np.minimum(start[which] + place * step, end[which] - INSIDE), start[which])
+    return which, low, np.minimum(low + INSIDE, end[which])
+
+
 class Network:
     """Embedded classes, one convolution, the largest response before, inside and after, and a logistic unit."""
 
@@ -153,6 +164,24 @@ def made_up(n: int, seed: int = 17) -> tuple[list[tuple[bytes, int, int]], np.nd
     return out, np.array(labels)
 
 
+def buried(n: int, seed: int = 23) -> list[tuple[bytes, int, int, int, int]]:
+    """Long runs with a key somewhere in them: (text, start, end, the key's start, its end)."""
+    r = random.Random(seed)
+    every = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    syllables = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "en", "que", "cion", "sch", "ung", "ment", "tion", "ble", "eau", "ado"]
+    word = lambda: "".join(r.choice(syllables) for _ in range(r.randint(1, 4)))
+    out = []
+    for _ in range(n):
+        mark = r.choice("///.-_=")
+        path = lambda least, most: mark.join(word() for _ in range(r.randint(least, most)))  # noqa: B023, E731
+        head = r.choice([f"//{word()}.example.com/", f"/{word()}/", ""]) + path(3, 12) + mark
+        key = "".join(r.choice(every) for _ in range(r.randint(20, 44)))
+        tail = r.choice(["", mark + path(1, 10)])
+        before = " ".join(word() for _ in range(5)) + r.choice([" ", " https:"])
+        out.append((f"{before}{head}{key}{tail} {word()} {word()}".encode(), len(before), len(before + head + key + tail), len(before + head), len(before + head + key)))
+    return out
+
+
 @dataclass
 class Found:
     """Spans of a piece of rows, in bytes of its buffer: (row, kind, start, end), and candidates that touch none."""
@@ -164,6 +193,7 @@ class Found:
     end: np.ndarray = None
     row: np.ndarray = None
     fixed: np.ndarray = None
+    covered: np.ndarray = None
 
 
 def find(data: np.ndarray, offsets: np.ndarray) -> Found:
@@ -201,12 +231,24 @@ def find(data: np.ndarray, offsets: np.ndarray) -> Found:
         cover[a] += 1
         cover[b] -= 1
     covered = np.concatenate([[0], np.cumsum(np.cumsum(cover[:n]) > 0)])
-    out.fixed = covered[out.end] > covered[out.start]
+    out.fixed, out.covered = covered[out.end] > covered[out.start], covered
     return out
 
 
-def _windows(f: Found, which: np.ndarray) -> np.ndarray:
-    return windows(f.data, f.start[which], f.end[which], f.offsets[f.row[which]], f.offsets[f.row[which] + 1])
+def _windows(f: Found, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of candidates: the windows of all slices, and the place in ``which`` that each belongs to."""
+    of, start, end = slices(f.start[which], f.end[which])
+    row = f.row[which][of]
+    return windows(f.data, start, end, f.offsets[row], f.offsets[row + 1]), of
+
+
+def _scores(f: Found, which: np.ndarray, network: Network, some: int = 4096) -> np.ndarray:
+    """The largest score of each candidate's slices."""
+    out = np.zeros(len(which))
+    for i in range(0, len(which), some):
+        x, of = _windows(f, which[i : i + some])
+        np.maximum.at(out, i + of, network.chance(x))
+    return out
 
 
 def _parts(column: pa.Array):
@@ -216,15 +258,16 @@ def _parts(column: pa.Array):
 
 
 def findings(docs: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Windows and labels of at most ``most`` candidates of each label: those with the smallest hashes."""
+    """Windows and labels of at most ``most`` slices of candidates of each label: those with the smallest hashes."""
 
     def run(batches):
         for batch in batches:
             for _, _, f in _parts(batch.column(0)):
-                x = _windows(f, np.arange(len(f.start))).astype(np.uint8)
+                of, low, high = slices(f.start, f.end)
+                x = windows(f.data, low, high, f.offsets[f.row[of]], f.offsets[f.row[of] + 1]).astype(np.uint8)
                 body = [w.tobytes() for w in x]
                 order = [int.from_bytes(hashlib.blake2b(w, digest_size=7).digest()) for w in body]
-                yield pa.RecordBatch.from_arrays([pa.array(body, pa.binary()), pa.array(f.fixed), pa.array(order, pa.int64())], ["x", "y", "o"])
+                yield pa.RecordBatch.from_arrays([pa.array(body, pa.binary()), pa.array(f.covered[high] > f.covered[low]), pa.array(order, pa.int64())], ["x", "y", "o"])
 
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("text").cast("string")).mapInArrow(run, "x binary, y boolean, o long").groupBy("y", "o").agg(F.first("x").alias("x"))
@@ -233,11 +276,21 @@ def findings(docs: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(docs: DataFrame, most: int = 1500, artificial: int = 2000, recall: float = 0.99) -> Network:
-    """The network, its calibration and threshold, from at most 2 * most + artificial labelled findings."""
+    """The network, its calibration and threshold, from at most 2 * most labelled slices and the made-up findings' own."""
     x, y = findings(docs, most)
     made, labels = made_up(artificial)
-    mine = np.concatenate([windows(np.frombuffer(t, np.uint8), np.array([a]), np.array([b]), np.array([0]), np.array([len(t)])) for t, a, b in made])
-    x, y = np.concatenate([x, mine]), np.concatenate([y, labels])
+    mine, label = [], []
+    for (t, a, b), one in zip(made, labels, strict=True):
+        _, low, high = slices(np.array([a]), np.array([b]))
+        mine.append(windows(np.frombuffer(t, np.uint8), low, high, np.zeros_like(low), np.full_like(low, len(t))))
+        label += [one] * len(low)
+    for t, a, b, c, d in buried(artificial // 2):
+        _, low, high = slices(np.array([a]), np.array([b]))
+        shown = np.minimum(high, d) - np.maximum(low, c)
+        sure = (shown <= 0) | (shown >= INSIDE // 4)  # a few bytes of a key are neither
+        mine.append(windows(np.frombuffer(t, np.uint8), low[sure], high[sure], np.zeros_like(low[sure]), np.full_like(low[sure], len(t))))
+        label += (shown[sure] > 0).astype(int).tolist()
+    x, y = np.concatenate([x, *mine]), np.concatenate([y, label])
     order = np.random.default_rng(1).permutation(len(x))
     x, y = x[order], y[order].astype(float)
     apart = np.arange(len(x)) % 4 == 0
@@ -250,7 +303,7 @@ def train(docs: DataFrame, most: int = 1500, artificial: int = 2000, recall: flo
 def _spans(f: Found, network: Network) -> list[list[tuple[int, int, int]]]:
     """Each row's (start, kind, end) in code points, by start and then kind."""
     open_ = np.flatnonzero(~f.fixed)
-    added = open_[network.chance(_windows(f, open_)) >= network.threshold] if len(open_) else open_
+    added = open_[_scores(f, open_, network) >= network.threshold]
     spans = f.spans + [(int(f.row[i]), 3, int(f.start[i]), int(f.end[i])) for i in added]
     out: list[list[tuple[int, int, int]]] = [[] for _ in range(len(f.offsets) - 1)]
     points = np.concatenate([[0], np.cumsum((f.data & 0xC0) != 0x80)])

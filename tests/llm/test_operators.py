@@ -217,6 +217,17 @@ def test_secrets(spark):
     assert clean[1].startswith("é ")
 
 
+def test_secrets_far_inside_a_run(spark):
+    key = "9xQ7Lm2ZtB4vKw8RhYd3NpJc"
+    path = "//hooks.example.com/services/" + "the/region/station/" * 3
+    rows = [(1, f"see https:{path}{key} there"), (2, f"see https:{path}{key}/{'region/station/' * 4} there")]
+    network = secretscan.train(docs_of(spark, [(1, "plain words")]), artificial=2000)
+    assert all(key not in r.text for r in secretscan.redact(docs_of(spark, rows), network).collect())
+    start, end = np.array([5, 100, 300]), np.array([21, 140, 441])
+    which, low, high = secretscan.slices(start, end)
+    assert {(w, p) for w, a, b in zip(which, low, high, strict=True) for p in range(a, b)} == {(w, p) for w in range(3) for p in range(start[w], end[w])}
+
+
 def test_made_up_secrets_are_told_apart(spark):
     x, y = secretscan.made_up(600, seed=99)
     network = secretscan.train(docs_of(spark, [(1, "plain words")]), artificial=1500)
