@@ -1,4 +1,4 @@
-"""Secret scans: fixed patterns, and a character convolutional network over every other candidate.
+"""Secret scans: fixed patterns, and a character convolutional network over every candidate.
 
 A candidate is a run of at least ``LEAST`` characters that tokens and keys are
 written with. The network reads the characters before it, its own and those after
@@ -7,7 +7,8 @@ score counts. It is trained in numpy on labelled findings: candidates of the cor
 by the fixed patterns (a bounded sample, by hash), and made-up keys, names,
 addresses and paths of other kinds. Its score is calibrated on findings it wasn't
 trained on, and the threshold is the highest that still finds ``recall`` of those
-that are secrets. Candidates above it that touch no fixed finding are added.
+that are secrets. Candidates above it are added whole, but those that the fixed
+findings cover already, up to marks that are no letters or digits.
 
 Defined cases: a null text is empty and has no spans; repeated rows are scanned
 each; a null doc_id is kept; an empty table gives no rows; other columns are kept by
@@ -39,6 +40,7 @@ CLUES = (b"passw", b"secret", b"token", b"api")
 LEAST, BEFORE, INSIDE, AFTER = 16, 24, 40, 8
 WIDTH = BEFORE + INSIDE + AFTER
 CANDIDATE = np.zeros(256, bool)
+MARK = np.isin(np.arange(256), [ord(c) for c in "+/_.=-"])
 CANDIDATE[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"]] = True
 #: 48 classes of bytes: letters by case, digits in two halves, and marks of their own.
 CLASS = np.zeros(256, np.int64)
@@ -184,7 +186,7 @@ def buried(n: int, seed: int = 23) -> list[tuple[bytes, int, int, int, int]]:
 
 @dataclass
 class Found:
-    """Spans of a piece of rows, in bytes of its buffer: (row, kind, start, end), and candidates that touch none."""
+    """Spans of a piece of rows, in bytes of its buffer: (row, kind, start, end), and candidates with whether the spans leave some of them open."""
 
     data: np.ndarray
     offsets: np.ndarray
@@ -192,12 +194,12 @@ class Found:
     start: np.ndarray = None
     end: np.ndarray = None
     row: np.ndarray = None
-    fixed: np.ndarray = None
     covered: np.ndarray = None
+    open: np.ndarray = None
 
 
 def find(data: np.ndarray, offsets: np.ndarray) -> Found:
-    """All fixed findings, and all candidates with whether a fixed finding touches them.
+    """All fixed findings, and all candidates with whether these leave a letter or digit of them uncovered.
 
     Runs are found with numpy. A run of hexadecimal digits or of an access key lies
     inside a candidate, so those patterns only look there; the assignments are only
@@ -230,8 +232,10 @@ def find(data: np.ndarray, offsets: np.ndarray) -> Found:
     for _, _, a, b in out.spans:
         cover[a] += 1
         cover[b] -= 1
-    covered = np.concatenate([[0], np.cumsum(np.cumsum(cover[:n]) > 0)])
-    out.fixed, out.covered = covered[out.end] > covered[out.start], covered
+    inside = np.cumsum(cover[:n]) > 0
+    out.covered = np.concatenate([[0], np.cumsum(inside)])
+    left = np.concatenate([[0], np.cumsum(~inside & ~MARK[data])])
+    out.open = left[out.end] > left[out.start]
     return out
 
 
@@ -302,7 +306,7 @@ def train(docs: DataFrame, most: int = 1500, artificial: int = 2000, recall: flo
 
 def _spans(f: Found, network: Network) -> list[list[tuple[int, int, int]]]:
     """Each row's (start, kind, end) in code points, by start and then kind."""
-    open_ = np.flatnonzero(~f.fixed)
+    open_ = np.flatnonzero(f.open)
     added = open_[_scores(f, open_, network) >= network.threshold]
     spans = f.spans + [(int(f.row[i]), 3, int(f.start[i]), int(f.end[i])) for i in added]
     out: list[list[tuple[int, int, int]]] = [[] for _ in range(len(f.offsets) - 1)]
