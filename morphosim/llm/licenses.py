@@ -24,6 +24,11 @@ SPELLINGS = (
     ("non infringement", "noninfringement"), ("copyright owner", "copyright holder"), ("per cent", "percent"), ("https", "http"), ("recognise", "recognize"), ("modernise", "modernize"),
 )
 COPYRIGHT_LINE = r"(^|\n)[ \t*#/;]*(copyright|\(c\)|©)[^\n]*"
+#: A line of a copyright notice, not a licence's own line that a break lets begin with one of these words, nor an item (c) of a list.
+NOTICE_LINE = (
+    r"(^|\n)[ \t*#/;]*(copyright(?![ \t]*(\n|$))(?![ \t]*,?[ \t]*(notices?|holders?|owners?|laws?|licen[sc]es?|statements?|interests?|protection|treaty|treaties|rights?|permissions?|disclaimers?|status|works?|doctrines?|and|or|in|of|is|are|to|on|for)\b)"
+    r"|\(c\)[ \t]*copyright|\(c\)(?=[^\n]*[12][0-9]{3})|©)[^\n]*"
+)
 RESERVED = r"all rights reserved\.?"
 MARKS = r"[^\p{L}\p{N}]+"
 
@@ -48,10 +53,28 @@ KNOWN = (
 )
 
 
+#: Digests of further published texts, whole, as distributed with Debian.
+PUBLISHED = (
+    ("04e64e0427d80fdde16fa8415931bf2c09bc943f13ec322a09df188bf23a3543", "Apache-2.0"),
+    ("c9bcba9e70d36ab628a0944e717aa88f7b65f5755a9f3061c584801892429806", "Artistic-1.0-Perl"),
+    ("cccf7894e1b9f4ba9f97728bf0c5baf9e07bc2ac93da7a51556451b1fb2b868e", "CC0-1.0"),
+    ("94541e73869af10ab6bd68a29575eede324e54e7d5237e7386d12444f593af60", "GFDL-1.2"),
+    ("a92fdbaeafedd9cbeb812ebbded06ee07e3b1427c81cfc333e682109c594d826", "GFDL-1.3"),
+    ("8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224", "GPL-1.0"),
+    ("efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821", "GPL-2.0"),
+    ("eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a", "GPL-3.0"),
+    ("9645df35bc8e107839fb024e61e6728ee32745a72194667211f31f7bad57b7d8", "LGPL-2.0"),
+    ("a5875b4abd0df481e41a66665de9bea2d629872285f8f890c7ff03f4f87cb0ef", "LGPL-2.1"),
+    ("aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be", "LGPL-3.0"),
+    ("cbbde7eeab9b4d180dc00b34252f800e97fb1cddbab38ed8c0c73b956dc2cbf6", "MPL-1.1"),
+    ("6fedd8db6adb0e102fc0f69b9e1501d2edaf25940e34910831cab46f9f5d4e4d", "MPL-2.0"),
+)
+
+
 def canonical(text: Column) -> Column:
     """What of a text counts."""
     text = F.lower(F.coalesce(text.cast("string"), F.lit("")))
-    text = F.regexp_replace(F.regexp_replace(text, COPYRIGHT_LINE, "$1"), RESERVED, " ")
+    text = F.regexp_replace(F.regexp_replace(text, NOTICE_LINE, "$1"), RESERVED, " ")
     text = F.regexp_replace(text, MARKS, " ")
     for other, one in SPELLINGS:
         text = F.replace(text, F.lit(other), F.lit(one))
@@ -61,7 +84,8 @@ def canonical(text: Column) -> Column:
 def known(spark: SparkSession) -> DataFrame:
     """digest, license_id of each known text."""
     rows = spark.createDataFrame(list(KNOWN), "license_id string, text string")
-    return rows.groupBy(F.sha2(canonical(F.col("text")), 256).alias("digest")).agg(F.min("license_id").alias("license_id"))
+    digests = rows.select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license_id").union(spark.createDataFrame(list(PUBLISHED), "digest string, license_id string"))
+    return digests.groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
 def lookup(docs: DataFrame, licenses: DataFrame | None = None) -> DataFrame:

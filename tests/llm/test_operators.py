@@ -282,3 +282,11 @@ def test_licenses(spark):
     got = {r.doc_id: r for r in licenses.lookup(docs_of(spark, rows)).collect()}
     assert [got[i].license_id for i in range(1, 6)] == ["MIT", "MIT", None, None, None]
     assert got[4].digest == hashlib.sha256(b"").hexdigest()
+
+
+def test_licenses_with_lines_broken_at_copyright(spark):
+    bsd, mit = dict(licenses.KNOWN)["BSD-2-Clause"], dict(licenses.KNOWN)["MIT"]
+    rows = [(1, bsd.replace("reproduce the above copyright", "reproduce the above\ncopyright")), (2, "Copyright Some Holder\n" + mit), (3, "(c) 2020 Some Holder\n" + mit), (4, "(c) a term of its own\n" + mit)]
+    got = {r.doc_id: r.license_id for r in licenses.lookup(docs_of(spark, rows)).collect()}
+    assert got == {1: "BSD-2-Clause", 2: "MIT", 3: "MIT", 4: None}
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "CC0-1.0"} <= {r.license_id for r in licenses.known(spark).collect()}
