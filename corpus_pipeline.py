@@ -20,10 +20,16 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (words in fives, similarity 0.8 or more) the document with the smallest id."""
-    found = minhash.near_duplicates(docs, minhash.Scheme(shingle=5))
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti").dropDuplicates(docs.columns)
+    """Of each group of near-duplicates (words in fives, similarity 0.8 or more) the document with the smallest id.
+
+    Rows go by id and text, so null and repeated ids take no other row with them. Of
+    rows that repeat both one stays; of rows without words only those that are equal go.
+    """
+    gone = minhash.superfluous(docs, minhash.Scheme(shingle=5)).select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash"))
+    kept = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_gone"]) & (F.xxhash64(docs["text"].cast("string")) == gone["_hash"]), "left_anti")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    blank = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^ \t\n\x0B\f\r]")
+    return kept.withColumn("_rest", F.when(blank, F.struct(F.lit(0), *others))).dropDuplicates(["doc_id", "text", "_rest"]).select(*docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

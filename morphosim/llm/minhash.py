@@ -248,9 +248,8 @@ def _blocks(members: DataFrame, slim: DataFrame, texts: DataFrame, s: Scheme) ->
     return rows.groupBy("key", "q", "t").applyInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, scheme: Scheme | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id, text)."""
-    s = scheme or Scheme()
+def grouped(docs: DataFrame, s: Scheme) -> DataFrame:
+    """doc_id, text_hash, n_shingles, root, component_id for each row of ``docs`` (doc_id, text); the root, of its component, is null without shingles."""
     rows = cut(signatures(docs, s), "signatures")
     full = rows.where("f1 is not null")
     # a class goes by its least id, a null one behind all others; its rows share signature and bands
@@ -259,10 +258,24 @@ def near_duplicates(docs: DataFrame, scheme: Scheme | None = None) -> DataFrame:
     classes = cut(classes.select(F.col("f1").alias("node"), "f2", F.col("m.doc_id").alias("doc_id"), F.col("m.text_hash").alias("text_hash"), "sig", "bands"), "classes")
     named = classes.select("node", "f2", "doc_id").join(_link(classes, docs, s), "node", "left").withColumn("root", F.coalesce("root", "node"))
     by_root = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    by_class = named.join(by_root, "root").select(F.col("node").alias("f1"), "f2", "component_id")
-    linked = full.select("f1", "f2", "doc_id", "n_shingles").join(by_class, ["f1", "f2"]).select("doc_id", "n_shingles", "component_id")
-    empty = rows.where("f1 is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked.union(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    by_class = named.join(by_root, "root").select(F.col("node").alias("f1"), "f2", "root", "component_id")
+    linked = full.select("f1", "f2", "doc_id", "text_hash", "n_shingles").join(by_class, ["f1", "f2"]).select("doc_id", "text_hash", "n_shingles", "root", "component_id")
+    empty = rows.where("f1 is null").select("doc_id", "text_hash", "n_shingles", F.lit(None).cast("long").alias("root"), F.col("doc_id").alias("component_id"))
+    return linked.union(empty)
+
+
+def near_duplicates(docs: DataFrame, scheme: Scheme | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id, text)."""
+    found = grouped(docs, scheme or Scheme()).select("doc_id", "n_shingles", "component_id")
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def superfluous(docs: DataFrame, s: Scheme) -> DataFrame:
+    """doc_id, text_hash of the rows of each component but one: that with its smallest id (a null one is behind all others) and then text hash."""
+    rows = cut(grouped(docs, s).where("root is not null").select("root", "doc_id", "text_hash").distinct(), "grouped")
+    one = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "text_hash")).alias("m"))
+    other = ~F.col("doc_id").eqNullSafe(F.col("m.doc_id")) | (F.col("text_hash") != F.col("m.text_hash"))
+    return rows.join(one, "root").where(other).select("doc_id", "text_hash")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

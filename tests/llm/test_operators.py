@@ -290,3 +290,15 @@ def test_licenses_with_lines_broken_at_copyright(spark):
     got = {r.doc_id: r.license_id for r in licenses.lookup(docs_of(spark, rows)).collect()}
     assert got == {1: "BSD-2-Clause", 2: "MIT", 3: "MIT", 4: None}
     assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "CC0-1.0"} <= {r.license_id for r in licenses.known(spark).collect()}
+
+
+def test_pipeline_keeps_one_of_each_by_row(spark):
+    import corpus_pipeline
+
+    text = lambda k: " ".join(f"{k}{i}" for i in range(80))
+    near = lambda k: text(k) + " more"
+    rows = [(1, text("a")), (None, near("a")), (None, text("clean")), (5, text("b")), (9, near("b")), (9, text("other")), (None, text("c")), (None, near("c")), (3, text("d")), (3, near("d")), (None, None), (7, "")]
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.one_of_each(spark, docs_of(spark, rows), "").collect()]
+    assert len(got) == len(set(got)) == 8
+    assert {(1, text("a")), (None, text("clean")), (5, text("b")), (9, text("other")), (None, None), (7, "")} < set(got)
+    assert len({(None, text("c")), (None, near("c"))} & set(got)) == len({(3, text("d")), (3, near("d"))} & set(got)) == 1
