@@ -169,7 +169,10 @@ class PieceEncoder:
             size = np.diff(off)
             good = np.where(bad, 0, size)
             keep = np.repeat(~bad, size)
-            ids, first = self._quick(part[keep] if bad.any() else part, np.concatenate([[0], np.cumsum(good)]))
+            try:
+                ids, first = self._quick(part[keep] if bad.any() else part, np.concatenate([[0], np.cumsum(good)]))
+            except OverflowError:  # too many distinct pieces: texts go whole to the library
+                bad[:] = True
             for i in range(b - a):
                 out.append(np.array(self.tokenizer.encode(raw[off[i] : off[i + 1]].decode(), add_special_tokens=False).ids, np.uint32) if bad[i] else ids[first[i] : first[i + 1]])
         return out

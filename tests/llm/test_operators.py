@@ -302,3 +302,14 @@ def test_pipeline_keeps_one_of_each_by_row(spark):
     assert len(got) == len(set(got)) == 8
     assert {(1, text("a")), (None, text("clean")), (5, text("b")), (9, text("other")), (None, None), (7, "")} < set(got)
     assert len({(None, text("c")), (None, near("c"))} & set(got)) == len({(3, text("d")), (3, near("d"))} & set(got)) == 1
+
+
+def test_pieces_beyond_the_table():
+    from public_tokenizers import path
+
+    e = PieceEncoder(path(TOKENIZER))
+    e.most = 50
+    long = " ".join(f"w{i}x" for i in range(400))
+    for t, ids in zip((long, "a b", long), e.encode(pa.array([long, "a b", long])), strict=True):
+        assert ids.tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
+    assert e.encode(pa.array(["a b"]))[0].tolist() == e.tokenizer.encode("a b", add_special_tokens=False).ids
