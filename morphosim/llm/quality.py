@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import cut, doc_crc, small_batches, table
+from ._shared import cut, doc_crc, remove, small_batches, table
 from ._textkernel import Words, pieces, utf8
 
 #: Kinds of bytes whose shares are statistics.
@@ -57,21 +57,24 @@ def statistics(words: Words) -> np.ndarray:
     return out
 
 
-def with_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` and ``x``, the statistics of ``text``."""
-    schema = docs.select(*keep).withColumn("x", F.array(F.lit(0.0)))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.schema)
+def _statistics(column: pa.Array):
+    """Ranges of rows and their statistics."""
+    data, offsets = utf8(column)
+    for a, b in pieces(offsets):
+        yield a, b, statistics(Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
+
+
+def with_statistics(docs: DataFrame) -> DataFrame:
+    """doc_id and ``x``, the statistics of ``text``."""
 
     def run(batches):
         for batch in batches:
-            data, offsets = utf8(batch.column(batch.num_columns - 1))
-            for a, b in pieces(offsets):
-                x = statistics(Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
+            for a, b, x in _statistics(batch.column(1)):
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel()))
-                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:-1]), lists], [*keep, "x"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], ["doc_id", "x"])
 
     small_batches(docs.sparkSession)
-    return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(run, kinds)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, x array<double>")
 
 
 class Fourier:
@@ -157,27 +160,49 @@ def fit(rows: DataFrame, ridge: float = 1e-3, bins: int = 4096, width: int = 384
     return model
 
 
-def scored(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """doc_id (and the columns ``keep``), held_out, score, predicted. Rows with crc32(doc_id) mod 3 = 1 are never learned from."""
-    spark = docs.sparkSession
-    keep = keep or ["doc_id"]
-    slim = cut(with_statistics(docs, ["doc_id"]), "statistics")
-    x = slim if keep == ["doc_id"] else with_statistics(docs, keep)
+def _learnt(slim: DataFrame, labels: DataFrame) -> Classifier:
+    """A classifier from statistics (doc_id, x) and labels; rows with crc32(doc_id) mod 3 = 1 are never learned from."""
     crc = doc_crc(F.col("doc_id"))
-    known = labels.where("quality is not null").select("doc_id", F.col("quality").cast("int").alias("y"))
+    known = labels.where("quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y"))
     train = slim.where(crc % 3 != 1).join(known, "doc_id").select("x", "y", ((crc / 3).cast("long") % 5).cast("int").alias("fold"))
     train = cut(train, "quality-train")
-    model = spark.sparkContext.broadcast(fit(train))
+    model = fit(train)
+    remove(slim.sparkSession, train)
+    return model
+
+
+def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score, predicted."""
+    slim = cut(with_statistics(docs), "statistics")
+    model = slim.sparkSession.sparkContext.broadcast(_learnt(slim, labels))
+
+    def run(batches):
+        for batch in batches:
+            s = model.value.score(_matrix(batch.column(1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
+
+    found = slim.mapInArrow(run, "doc_id long, score double, predicted int")
+    return found.select("doc_id", (doc_crc(F.col("doc_id")) % 3 == 1).alias("held_out"), "score", "predicted")
+
+
+def good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that are predicted to be of quality 1.
+
+    One Python worker takes each row's text once: statistics, score and choice are made in it.
+    """
+    spark = docs.sparkSession
+    slim = cut(with_statistics(docs), "statistics")
+    model, at = spark.sparkContext.broadcast(_learnt(slim, labels)), docs.columns.index("text")
+    remove(spark, slim)
 
     def run(batches):
         for batch in batches:
-            s = model.value.score(_matrix(batch.column(batch.num_columns - 1)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*batch.schema.names[:-1], "score", "predicted"])
+            for a, b, x in _statistics(batch.column(at).cast(pa.string())):
+                yield batch.slice(a, b - a).filter(pa.array(model.value.score(x) >= 0.5))
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in x.schema if f.name != "x")
-    return x.mapInArrow(run, kinds + ", score double, predicted int").withColumn("held_out", crc % 3 == 1)
+    small_batches(spark)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return scored(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+    return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
