@@ -1,14 +1,19 @@
 """License scans by canonical digests: whole texts, normalised, looked up by hash.
 
 Normalising follows the public matching guidelines for licence texts: letter case,
-punctuation, white space and copyright lines don't count, and varying spellings are
-equivalent. The digest of what remains is joined with those of known texts. The
-known ones are a fixed list in this module, so they are broadcast.
+punctuation, white space, comment marks, a title line and copyright lines don't count,
+and varying spellings of whole words are equivalent. The digest of what remains is
+joined with those of known texts. The known ones are a fixed list in
+``_license_texts``, so they are broadcast; others can be given as a table of any size.
+
+A copyright line is one that begins with "copyright" and goes on with a year, a mark or
+a name, not one that a line break lets begin with "copyright notice", "copyright
+holder" and the like; or one that begins with "(c)" and has a year, or with the sign.
 
 Defined cases: null, empty and blank texts have the digest of the empty text and no
-licence; a text of copyright lines only counts as empty; repeated rows are each
-reported; a null doc_id is kept; an empty table gives no rows; extra columns are
-ignored.
+licence; a text of copyright lines or of a title only counts as empty; repeated rows are
+each reported; a null doc_id is kept; very long texts are read whole; an empty table
+gives no rows; other columns, of whatever name, are ignored.
 """
 
 from __future__ import annotations
@@ -16,75 +21,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._license_texts import DIGESTS, TEXTS
 from ._shared import table
 
 # Equivalent spellings, after case and punctuation are gone.
 SPELLINGS = (
-    ("licence", "license"), ("sub license", "sublicense"), ("authorise", "authorize"), ("organisation", "organization"), ("favour", "favor"), ("fulfil ", "fulfill "), ("merchantibility", "merchantability"),
-    ("non infringement", "noninfringement"), ("copyright owner", "copyright holder"), ("per cent", "percent"), ("https", "http"), ("recognise", "recognize"), ("modernise", "modernize"),
-)
-COPYRIGHT_LINE = r"(^|\n)[ \t*#/;]*(copyright|\(c\)|©)[^\n]*"
-#: A line of a copyright notice, not a licence's own line that a break lets begin with one of these words, nor an item (c) of a list.
-NOTICE_LINE = (
-    r"(^|\n)[ \t*#/;]*(copyright(?![ \t]*(\n|$))(?![ \t]*,?[ \t]*(notices?|holders?|owners?|laws?|licen[sc]es?|statements?|interests?|protection|treaty|treaties|rights?|permissions?|disclaimers?|status|works?|doctrines?|and|or|in|of|is|are|to|on|for)\b)"
-    r"|\(c\)[ \t]*copyright|\(c\)(?=[^\n]*[12][0-9]{3})|©)[^\n]*"
+    ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sub license", "sublicense"), ("authorise", "authorize"), ("authorised", "authorized"), ("organisation", "organization"),
+    ("favour", "favor"), ("fulfil", "fulfill"), ("merchantibility", "merchantability"), ("non infringement", "noninfringement"), ("copyright owner", "copyright holder"), ("copyright owners", "copyright holders"),
+    ("per cent", "percent"), ("https", "http"), ("recognise", "recognize"), ("modernise", "modernize"),
 )
+LEAD = r"[ \t*#/;]*"
+#: What follows "copyright" in a sentence, not in a notice.
+SENTENCE = r"[ \t]*,?[ \t]*(notices?|holders?|owners?|laws?|licen[sc]es?|statements?|interests?|protection|treaty|treaties|rights?|permissions?|disclaimers?|status|works?|doctrines?|and|or|in|of|is|are|to|on|for)\b"
+NOTICE_LINE = rf"(^|\n){LEAD}(copyright\b(?![ \t]*(\n|$))(?!{SENTENCE})|\(c\)[ \t]*copyright|\(c\)(?=[^\n]*[12][0-9]{{3}})|©)[^\n]*"
+TITLE = r'^[\s*#/;]*(the[ \t]+)?(mit|mit no attribution|mit/x11|x11|expat|isc|zlib|zlib/libpng|json|curl|fair|postgresql|ntp|bsd|new bsd|modified bsd|revised bsd|simplified bsd|freebsd|bsd 1-clause|bsd 2-clause|bsd 3-clause|1-clause bsd|2-clause bsd|3-clause bsd|bsd 3-clause clear|clear bsd|university of illinois/ncsa open source)[ \t]+licen[sc]e([ \t]*\([^()\n]*\))?[ \t:]*(\n|$)'
 RESERVED = r"all rights reserved\.?"
 MARKS = r"[^\p{L}\p{N}]+"
 
-# Published licence texts.
-_WARRANTY = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE'
-_ISC_WARRANTY = 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'
-_BSD_HEAD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n"
-_BSD_TAIL = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
-KNOWN = (
-    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n' + _WARRANTY + " AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n" + _ISC_WARRANTY),
-    ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n" + _ISC_WARRANTY),
-    ("BSD-2-Clause", _BSD_HEAD + _BSD_TAIL),
-    ("BSD-3-Clause", _BSD_HEAD + "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n" + _BSD_TAIL),
-    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:\n1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.\n2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.\n3. This notice may not be removed or altered from any source distribution."),
-    ("Fair", "Usage of the works is permitted provided that this instrument is retained with the works, so that any entity that uses the works is notified of this instrument.\nDISCLAIMER: THE WORKS ARE WITHOUT WARRANTY."),
-    ("WTFPL", "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE\nTERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION\n0. You just DO WHAT THE FUCK YOU WANT TO."),
-    ("notice CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("notice GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("notice Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("notice MIT", "Released under the MIT License."),
-)
-
-
-#: Digests of further published texts, whole, as distributed with Debian.
-PUBLISHED = (
-    ("04e64e0427d80fdde16fa8415931bf2c09bc943f13ec322a09df188bf23a3543", "Apache-2.0"),
-    ("c9bcba9e70d36ab628a0944e717aa88f7b65f5755a9f3061c584801892429806", "Artistic-1.0-Perl"),
-    ("cccf7894e1b9f4ba9f97728bf0c5baf9e07bc2ac93da7a51556451b1fb2b868e", "CC0-1.0"),
-    ("94541e73869af10ab6bd68a29575eede324e54e7d5237e7386d12444f593af60", "GFDL-1.2"),
-    ("a92fdbaeafedd9cbeb812ebbded06ee07e3b1427c81cfc333e682109c594d826", "GFDL-1.3"),
-    ("8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224", "GPL-1.0"),
-    ("efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821", "GPL-2.0"),
-    ("eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a", "GPL-3.0"),
-    ("9645df35bc8e107839fb024e61e6728ee32745a72194667211f31f7bad57b7d8", "LGPL-2.0"),
-    ("a5875b4abd0df481e41a66665de9bea2d629872285f8f890c7ff03f4f87cb0ef", "LGPL-2.1"),
-    ("aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be", "LGPL-3.0"),
-    ("cbbde7eeab9b4d180dc00b34252f800e97fb1cddbab38ed8c0c73b956dc2cbf6", "MPL-1.1"),
-    ("6fedd8db6adb0e102fc0f69b9e1501d2edaf25940e34910831cab46f9f5d4e4d", "MPL-2.0"),
-)
-
 
 def canonical(text: Column) -> Column:
     """What of a text counts."""
-    text = F.lower(F.coalesce(text.cast("string"), F.lit("")))
+    text = F.regexp_replace(F.lower(F.coalesce(text.cast("string"), F.lit(""))), TITLE, "")
     text = F.regexp_replace(F.regexp_replace(text, NOTICE_LINE, "$1"), RESERVED, " ")
-    text = F.regexp_replace(text, MARKS, " ")
+    text = F.regexp_replace(F.concat(F.lit(" "), text, F.lit(" ")), MARKS, " ")
     for other, one in SPELLINGS:
-        text = F.replace(text, F.lit(other), F.lit(one))
+        text = F.replace(text, F.lit(f" {other} "), F.lit(f" {one} "))
     return F.trim(text)
 
 
 def known(spark: SparkSession) -> DataFrame:
     """digest, license_id of each known text."""
-    rows = spark.createDataFrame(list(KNOWN), "license_id string, text string")
-    digests = rows.select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license_id").union(spark.createDataFrame(list(PUBLISHED), "digest string, license_id string"))
+    rows = spark.createDataFrame(list(TEXTS), "license_id string, text string")
+    digests = rows.select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license_id").union(spark.createDataFrame(list(DIGESTS), "digest string, license_id string"))
     return digests.groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
@@ -103,17 +71,31 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup(table(spark, sf_dir, "documents"))
 
 
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
 def _sql(text: str) -> str:
-    quoted = lambda x: "'" + x.replace("'", "''") + "'"
-    out = f"regexp_replace(regexp_replace(regexp_replace(lower(coalesce({text}, '')), {quoted(COPYRIGHT_LINE)}, '\\1', 'g'), {quoted(RESERVED)}, ' ', 'g'), {quoted(MARKS)}, ' ', 'g')"
+    """``canonical`` in SQL whose patterns can't look ahead: lines are judged one by one."""
+    line = f"regexp_matches(l, {_quoted(f'^{LEAD}')} || "
+    notice = (
+        f"({line}'copyright\\b') AND NOT {line}'copyright[ \\t]*$') AND NOT {line}{_quoted('copyright' + SENTENCE)})) OR {line}'\\(c\\)[ \\t]*copyright')"
+        f" OR {line}'\\(c\\).*[12][0-9][0-9][0-9]') OR {line}'©')"
+    )
+    out = f"regexp_replace(lower(coalesce({text}, '')), {_quoted(TITLE)}, '')"
+    out = f"array_to_string(list_transform(string_split({out}, chr(10)), lambda l: CASE WHEN {notice} THEN '' ELSE l END), chr(10))"
+    out = f"regexp_replace(' ' || regexp_replace({out}, {_quoted(RESERVED)}, ' ', 'g') || ' ', {_quoted(MARKS)}, ' ', 'g')"
     for other, one in SPELLINGS:
-        out = f"replace({out}, {quoted(other)}, {quoted(one)})"
+        out = f"replace({out}, ' {other} ', ' {one} ')"
     return f"trim({out})"
 
 
-_VALUES = ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in row) + ")" for row in KNOWN)
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join(_quoted(x) for x in row) + ")" for row in rows)
+
+
 ORACLE = f"""
-WITH k AS (SELECT sha256(c) AS digest, min(license_id) AS license_id FROM (SELECT license_id, {_sql("text")} AS c FROM (VALUES {_VALUES}) t(license_id, text)) GROUP BY 1),
+WITH k AS (SELECT digest, min(license_id) AS license_id FROM (SELECT license_id, sha256({_sql("text")}) AS digest FROM (VALUES {_values(TEXTS)}) t(license_id, text) UNION ALL SELECT license_id, digest FROM (VALUES {_values(DIGESTS)}) t(digest, license_id)) GROUP BY 1),
 d AS (SELECT doc_id, {_sql("text")} AS c FROM documents)
 SELECT doc_id, length(c) AS canonical_chars, sha256(c) AS digest, license_id FROM d LEFT JOIN k ON k.digest = sha256(d.c)
 """
