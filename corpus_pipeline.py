@@ -15,8 +15,7 @@ from morphosim.llm._shared import cut, table
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier predicts to be of quality 1. Labels of all rows but a held-out third are learned from."""
-    scored = quality.scored(docs, table(spark, sf_dir, "labels"), docs.columns)
-    return scored.where("predicted = 1").select(*docs.columns)
+    return quality.good(docs, table(spark, sf_dir, "labels"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,16 +32,13 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't contaminated. The row number keeps the filter from being pushed down, which would search twice."""
-    found = decontaminate.hits(docs, table(spark, sf_dir, "benchmark")).withColumn("_row", F.monotonically_increasing_id())
-    return found.where(~F.col("contaminated") & (F.col("_row") >= 0)).select(*docs.columns)
+    """Documents that aren't contaminated."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with every secret span replaced and ``n_chars`` counted anew where the text changed."""
-    clean = secretscan.redact(docs.withColumn("_before", F.length("text")), secretscan.train(docs))
-    count = F.when(F.length("text") != F.col("_before"), F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return clean.withColumn("n_chars", count).select(*docs.columns)
+    return secretscan.redact(docs, secretscan.train(docs), count="n_chars")
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

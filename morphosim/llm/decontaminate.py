@@ -1,20 +1,25 @@
 """Benchmark decontamination by a prefix-filtered set join, in DataFrame expressions alone.
 
-A window is 13 consecutive words of an item (all of a shorter one). It occurs in a
-document only with all its words, so its rarest word, counted over the documents,
-is prefix enough: documents' words are joined with those prefix words only. The
-word's place in the window gives the place where the window would start; it must lie
-within the document (the positional and length bounds), and the whole window is then
-compared with the words that stand there.
-
-The prefix words are broadcast only if there are at most ``BROADCAST`` of them, else
-joined by shuffle. Candidates are gathered for each distinct text, so copies are
-searched once, and its words are cut again only there.
+A window is 13 consecutive words of an item (all of a shorter one), as a set join sees
+it the set of its shingles: runs of ``SHINGLE`` words, or the whole of a shorter
+window. It occurs in a document only with all its shingles, so one is prefix enough:
+the rarest, counted over the documents. Documents' shingles are joined with those
+prefix shingles only. A shingle's place in the window gives the place where the window
+would start; it must lie within the document (the positional and length bounds). The
+words that stand there must have the window's hash, and are then compared with the
+window's own, word by word.
+
+Texts are read twice, for the rarity of the benchmark's shingles and for the
+candidates, and once more without cutting words for their number. Tables of fixed width
+are broadcast up to ``BROADCAST`` rows, some ten MB; beyond that they are joined by
+shuffle, and shingles are counted before they are dealt out. Equal texts are one from
+the candidates on.
 
 Defined cases: a null text has no words; an item without words has no window; equal
 texts, and repeated rows and items, are each reported; a null doc_id is kept, a null
 item_id counts as an item but not in the digest; empty tables give no hits or no
-rows; extra columns are ignored.
+rows; very long texts are searched whole; other columns stay as they are, but those with
+the names of the results, which these replace.
 """
 
 from __future__ import annotations
@@ -24,11 +29,13 @@ from pyspark.sql import functions as F
 
 from ._shared import cut, table
 
-WINDOW = 13
-#: Distinct words of the benchmark that may be broadcast: some ten MB at most.
+WINDOW, SHINGLE = 13, 3
+#: Rows of a table of at most four numbers that may be broadcast: some ten MB.
 BROADCAST = 200_000
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+RESULTS = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def lowered(text: Column) -> Column:
@@ -41,65 +48,114 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(lowered(F.coalesce(text.cast("string"), F.lit(""))), SEPARATORS), "")
 
 
+def text_key(text: Column) -> Column:
+    return F.md5(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def windows_of(items: DataFrame, size: int) -> DataFrame:
-    """words, items: each distinct window with the ids of its items (and null for those without id)."""
-    w = items.select("item_id", words_of(F.col("text")).alias("w")).where(F.size("w") > 0)
+    """item, words: each window of each item."""
+    w = items.select(F.col("item_id").cast("string").alias("item"), words_of(F.col("text")).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - (size - 1)))
-    return w.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("w", i, size))).alias("words")).groupBy("words").agg(F.collect_set(F.coalesce(F.col("item_id").cast("string"), F.lit("\0"))).alias("items"))
+    return w.select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i, size))).alias("words")).distinct()
+
+
+def shingled(rows: DataFrame, sizes: list[int]) -> DataFrame:
+    """``rows`` (with words ``w``), and pos and s: each place and the hash of the shingle of each of ``sizes`` there."""
+    some = rows.where(F.size("w") >= min(sizes)).select("*", F.explode(F.sequence(F.lit(0), F.size("w") - min(sizes))).alias("pos"))
+    hashed = [F.xxhash64(F.lit(k), *[F.get("w", F.col("pos") + i) for i in range(k)]) for k in sizes]
+    if len(sizes) == 1:
+        return some.withColumn("s", hashed[0])
+    fits = [F.when(F.col("pos") + k <= F.size("w"), h) for k, h in zip(sizes, hashed, strict=True)]
+    return some.withColumn("s", F.explode(F.array(*fits))).where("s is not null")
+
+
+def prefixes(texts: DataFrame, windows: DataFrame, sizes: list[int]) -> DataFrame:
+    """s, offset, size, window: each distinct window (words) under its rarest shingle."""
+    own = F.least(F.size("words"), F.lit(SHINGLE))
+    each = shingled(windows.select("words", F.col("words").alias("w")), sizes)
+    # a window's shingles have one size
+    each = cut(each.where(F.col("s") == F.element_at(F.array(*[F.xxhash64(F.lit(k), *[F.get("w", F.col("pos") + i) for i in range(k)]) for k in range(1, SHINGLE + 1)]), own)).select("words", F.col("pos").alias("offset"), "s"), "shingles")
+    wanted = cut(each.select("s").distinct(), "wanted")
+    met = shingled(texts.select(words_of(F.col("text")).alias("w")), sizes).select("s")
+    if wanted.count() <= BROADCAST:
+        rarity = met.join(F.broadcast(wanted), "s", "left_semi").groupBy("s").count()
+    else:
+        rarity = met.groupBy("s").count().join(wanted, "s", "left_semi")
+    least = each.join(rarity, "s", "left").groupBy("words").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "s", "offset")).alias("m"))
+    return least.select(F.col("m.s").alias("s"), F.col("m.offset").alias("offset"), F.size("words").alias("size"), F.xxhash64("words").alias("window"))
+
+
+def occurrences(texts: DataFrame, windows: DataFrame, sizes: list[int]) -> DataFrame:
+    """key, start, words: where each window stands in each distinct text (text)."""
+    prefix = cut(prefixes(texts, windows, sizes), "prefixes")
+    small = prefix.count() <= BROADCAST
+    cut_up = texts.select(text_key(F.col("text")).alias("key"), words_of(F.col("text")).alias("w"))
+    if small:
+        met = shingled(cut_up, sizes).join(F.broadcast(prefix), "s").withColumn("n", F.size("w"))
+    else:  # a text's words don't travel with each of its shingles
+        met = shingled(cut_up, sizes).select("key", F.size("w").alias("n"), "pos", "s").join(prefix, "s")
+    start = F.col("pos") - F.col("offset")
+    met = met.withColumn("start", start).where((F.col("start") >= 0) & (F.col("start") + F.col("size") <= F.col("n")))
+    if not small:
+        met = met.select("key", "start", "size", "window").distinct().join(cut_up.dropDuplicates(["key"]), "key")
+    place = F.slice("w", F.col("start") + 1, F.col("size"))
+    found = met.where(F.xxhash64(place) == F.col("window")).select("key", "start", "window", place.alias("words")).distinct()
+    return found.join(windows.select("words", F.xxhash64("words").alias("window")), ["window", "words"], "left_semi").select("key", "start", "words")
+
+
+def found(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
+    """key, n_hit, n_items, items_sha256 of each distinct text of ``docs`` (text) in which a window stands."""
+    flat = cut(windows_of(items, size), "windows")
+    windows = flat.select("words").distinct()
+    sizes = sorted(r[0] for r in windows.select(F.least(F.size("words"), F.lit(SHINGLE)).alias("k")).distinct().collect())  # at most SHINGLE rows
+    if not sizes:
+        none = docs.limit(0).select(text_key(F.col("text")).alias("key"))
+        return none.select("key", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.lit("").alias("items_sha256"))
+    at = cut(occurrences(docs.select("text"), windows, sizes), "occurrences")
+    # the length of the union of a text's intervals, taken in order of their starts
+    spans = F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.size("words")).alias("stop"))))
+    union = F.aggregate(
+        spans, F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")),
+        lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0), x["stop"] - F.greatest(a["to"], x["start"]))).alias("n"), F.greatest(a["to"], x["stop"]).alias("to")), lambda a: a["n"].cast("long"),
+    )
+    hit = at.groupBy("key").agg(union.alias("n_hit"))
+    met = at.select("key", "words").distinct().join(flat, "words").select("key", "item").distinct()
+    ids = F.sha2(F.array_join(F.array_sort(F.collect_list("item")), ","), 256)  # a null id isn't collected
+    return hit.join(met.groupBy("key").agg(F.count(F.lit(1)).alias("n_items"), ids.alias("items_sha256")), "key")
+
+
+def _judged(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """``rows`` (row, key, n_words) and the other results."""
+    n = F.coalesce("n_hit", F.lit(0).cast("long"))
+    return rows.join(found, "key", "left").select(
+        "row", "n_words", n.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"),
+        ((n > 0) & (20 * n >= F.col("n_words"))).alias("contaminated"),
+    )
 
 
-def _sized(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST else df
+def _rows(docs: DataFrame, kept: list[str]) -> DataFrame:
+    """row (the columns ``kept`` as one), key, n_words."""
+    count = F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD)).cast("long")
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), text_key(F.col("text")).alias("key"), count.alias("n_words"))
 
 
-def prefixes(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """word, offset, size, id, words, items: each window under its rarest word."""
-    each = windows.select("words", F.explode(F.array_distinct("words")).alias("word"))
-    vocabulary = cut(each.select("word").distinct(), "vocabulary")
-    found = docs.select(F.explode(words_of(F.col("text"))).alias("word")).join(_sized(vocabulary, vocabulary.count()), "word", "left_semi")
-    rarity = found.groupBy("word").count()
-    rarest = each.join(rarity, "word", "left").groupBy("words").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), -F.length("word"), "word")).alias("r"))
-    return windows.join(rarest, "words").select(
-        F.col("r.word").alias("word"), (F.array_position("words", F.col("r.word")) - 1).cast("int").alias("offset"), F.size("words").alias("size"), "words", "items",
-        F.xxhash64("words").alias("window"),
-    )
+def hits(docs: DataFrame, items: DataFrame, size: int = WINDOW, kept: list[str] | None = None) -> DataFrame:
+    """The columns ``kept`` of ``docs`` (all of them, if not given) and n_words, n_hit, n_items, items_sha256, contaminated."""
+    kept = [c for c in (docs.columns if kept is None else kept) if c not in RESULTS]
+    return _judged(_rows(docs, kept), found(docs, items, size)).select(*[F.col("row")[c].alias(c) for c in kept], *RESULTS)
 
 
-def hits(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
-    """``docs`` (with ``text``) and n_words, n_hit, n_items, items_sha256, contaminated."""
-    texts = docs.select("text", F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_text_key"))
-    windows = cut(prefixes(docs, cut(windows_of(items, size), "windows")), "prefixes")
-    prefix = windows.select("word", "offset", "size", "window").groupBy("word").agg(F.collect_list(F.struct("offset", "size", "window")).alias("at"))
-    w = words_of(F.col("text"))
-    found = (
-        texts.select("_text_key", w.alias("w")).select("_text_key", F.size("w").alias("n"), F.posexplode("w").alias("pos", "word"))
-        .join(_sized(prefix, prefix.count()), "word")
-        .select("_text_key", "n", "pos", F.explode("at").alias("c"))
-        .select("_text_key", (F.col("pos") - F.col("c.offset")).alias("start"), "n", F.col("c.size").alias("size"), F.col("c.window").alias("window"))
-        .where("start >= 0 AND start + size <= n")
-        .select("_text_key", "window", "start").distinct()
-    )
-    words = windows.select("window", "words", "items")
-    candidates = found.join(_sized(words, words.count()), "window").groupBy("_text_key").agg(F.collect_list(F.struct("start", "words", "items")).alias("_c"))
-    candidates = cut(candidates, "candidates")
-    keyed = docs.withColumn("_text_key", F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    joined = keyed.join(candidates, "_text_key", "left").withColumn("_w", w)
-    true = F.filter(F.coalesce("_c", F.array().cast(candidates.schema["_c"].dataType)), lambda c: F.slice("_w", c["start"] + 1, F.size(c["words"])) == c["words"])
-    joined = joined.withColumn("_t", true)
-    places = F.array_distinct(F.flatten(F.transform("_t", lambda c: F.sequence(c["start"], c["start"] + F.size(c["words"]) - 1))))
-    ids = F.array_distinct(F.flatten(F.transform("_t", lambda c: c["items"])))
-    n, h = F.size("_w").cast("long"), F.col("n_hit")
-    return (
-        joined.withColumn("n_words", n).withColumn("n_hit", F.size(places).cast("long")).withColumn("_i", ids)
-        .withColumn("n_items", F.size("_i").cast("long"))
-        .withColumn("items_sha256", F.sha2(F.array_join(F.array_sort(F.array_remove("_i", "\0")), ","), 256))
-        .withColumn("contaminated", (h > 0) & (20 * h >= F.col("n_words"))).drop("_text_key", "_c", "_w", "_t", "_i")
-    )
+def clean(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that aren't contaminated. Only texts with hits are judged; the others don't move for them."""
+    hit = cut(found(docs, items, size), "hit-texts")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_key(F.col("text")).alias("key"))
+    some = docs.select(F.col("text").alias("text"), text_key(F.col("text")).alias("key")).join(hit, "key", "left_semi").dropDuplicates(["key"])
+    bad = _judged(_rows(some, ["text"]), hit).where("contaminated").select(text_key(F.col("row.text")).alias("key"))
+    return rows.join(cut(bad, "contaminated"), "key", "left_anti").select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = hits(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    return hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), kept=["doc_id"])
 
 
 ORACLE = r"""
