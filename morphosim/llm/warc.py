@@ -10,10 +10,14 @@ Tasks write bundles straight to the shared folder under names that no other
 attempt uses; the index, committed by Spark, names the bundles of the attempts
 that won. Files of lost attempts are named nowhere and are never read.
 
+Record ids are unique: a row that repeats page_id and payload has its row number in its
+id, but for one, which is the one that revisits refer to.
+
 Defined cases: null payload is empty; null url leaves out the target URI; a null
 page_id is kept as null and never chosen as the response of others; rows that
 repeat page_id and payload are all responses if theirs is the largest page_id;
-an empty table gives no bundles and no rows; other columns are ignored.
+a very long payload is a frame of its own; an empty table gives no bundles and no rows;
+other columns, of whatever name, are ignored.
 """
 
 from __future__ import annotations
@@ -45,17 +49,15 @@ def open_fs(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def response_id(page_id, digest: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'response {page_id} {digest}')}>"
-
+def record_id(kind: str, page_id, digest: str, copy=None) -> str:
+    """``copy`` is the row number of a row that repeats another's page_id and payload."""
+    seed = f"{kind} {page_id} {digest}" + (f" {copy}" if copy is not None else "")
+    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, seed)}>"
 
-def revisit_id(page_id, digest: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'revisit {page_id} {digest}')}>"
 
-
-def encode_record(page_id, url, payload: bytes, digest: str, kind: str, refers_to, date: str) -> tuple[str, bytes]:
+def encode_record(page_id, url, payload: bytes, digest: str, kind: str, refers_to, date: str, copy=None) -> tuple[str, bytes]:
     """A WARC/1.1 record; a revisit carries the HTTP header alone and the length of the payload it stands for."""
-    rid = revisit_id(page_id, digest) if kind == "revisit" else response_id(page_id, digest)
+    rid = record_id(kind, page_id, digest, copy)
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     head = [
         "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {rid}", f"WARC-Date: {date}",
@@ -67,7 +69,7 @@ def encode_record(page_id, url, payload: bytes, digest: str, kind: str, refers_t
     if page_id is not None:
         head.append(f"X-Page-Id: {page_id}")
     if kind == "revisit":
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {response_id(refers_to, digest)}", f"X-Refers-To-Page: {refers_to}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id('response', refers_to, digest)}", f"X-Refers-To-Page: {refers_to}"]
     else:
         block += payload
     return rid, ("\r\n".join([*head, f"Content-Length: {len(block)}"]) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
@@ -174,22 +176,23 @@ def read_record(bundle: str, frame_start: int, frame_bytes: int, offset: int) ->
 
 
 def plan_records(pages: DataFrame, least: int = 1000) -> DataFrame:
-    """Give each page its digest, record type and what it refers to.
+    """Give each page its digest, record type, what it refers to, and a number if it repeats another row.
 
-    Digests that repeat are counted before anything is joined; the join is on a
-    unique side, so its hot digests can be split.
+    Digests and ids that repeat are counted before anything is joined; the joins are on
+    unique sides, so their hot digests can be split.
     """
     pages = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
-        F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"),
+        F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"), F.monotonically_increasing_id().alias("row"),
     ).withColumn("digest", F.sha1("payload"))
-    first = (
-        pages.where(F.octet_length("payload") >= least).groupBy("digest")
-        .agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    )
+    alike = pages.groupBy("digest", "page_id").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("one"), F.min(F.octet_length("payload")).alias("bytes"))
+    first = alike.where(F.col("bytes") >= least).groupBy("digest").agg(F.max("page_id").alias("first"), F.sum("n").alias("n")).where("n > 1").drop("n")
+    repeated = alike.where("n > 1").select(F.col("digest").alias("d"), F.col("page_id").alias("p"), "one")
     again = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
-    return pages.join(first, "digest", "left").select(
-        "page_id", "url", "payload", "digest", F.when(again, "revisit").otherwise("response").alias("kind"), F.when(again, F.col("first")).alias("refers_to")
+    planned = pages.join(first, "digest", "left").join(repeated, (F.col("digest") == F.col("d")) & F.col("page_id").eqNullSafe(F.col("p")), "left")
+    return planned.select(
+        "page_id", "url", "payload", "digest", F.when(again, "revisit").otherwise("response").alias("kind"), F.when(again, F.col("first")).alias("refers_to"),
+        F.when(F.col("row") != F.col("one"), F.col("row")).alias("copy"),
     )
 
 
@@ -204,11 +207,11 @@ def write_bundles(records: DataFrame, folder: str, frame_bytes: int = 256 << 10,
         bundle = None
         index = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
         for batch in batches:
-            columns = [batch.column(c) for c in range(6)]
+            columns = [batch.column(c) for c in range(7)]
             for i in range(batch.num_rows):
-                page, url, payload, digest, kind, refers = (c[i].as_py() for c in columns)
+                page, url, payload, digest, kind, refers, copy = (c[i].as_py() for c in columns)
                 bundle = bundle or start()
-                rid, data = encode_record(page, url, payload, digest, kind, refers, date)
+                rid, data = encode_record(page, url, payload, digest, kind, refers, date, copy)
                 bundle.add(rid, page, kind, data)
                 if bundle.place >= bundle_bytes:
                     yield index(bundle.close())
@@ -220,8 +223,8 @@ def write_bundles(records: DataFrame, folder: str, frame_bytes: int = 256 << 10,
     return cut(records.mapInArrow(write, INDEX), "warc-index")
 
 
-def read_bundles(index: DataFrame, payloads: bool = False) -> DataFrame:
-    """All records of the bundles that ``index`` names; a task reads whole bundles frame by frame."""
+def read_bundles(index: DataFrame, payloads: bool = False, task_bytes: int = 128 << 20) -> DataFrame:
+    """All records of the bundles that ``index`` names; they are dealt out over tasks, and a task reads its bundles frame by frame."""
     columns = [x.split() for x in RECORD.split(", ")]
     kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
     schema = pa.schema([(n, kinds[k]) for n, k in columns if payloads or n != "payload"])
@@ -240,8 +243,10 @@ def read_bundles(index: DataFrame, payloads: bool = False) -> DataFrame:
                 if held:
                     yield pa.RecordBatch.from_pylist(held, schema)
 
-    bundles = index.select("bundle").distinct()
-    return bundles.mapInArrow(read, ", ".join(f"{n} {k}" for n, k in columns if payloads or n != "payload"))
+    bundles = cut(index.groupBy("bundle").agg(F.max(F.col("frame_start") + F.col("frame_bytes")).alias("bytes")), "warc-bundles")
+    n, size = bundles.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    tasks = max(1, min(n, max(8 * index.sparkSession.sparkContext.defaultParallelism, -(-size // task_bytes))))
+    return bundles.select("bundle").repartition(tasks).mapInArrow(read, ", ".join(f"{n} {k}" for n, k in columns if payloads or n != "payload"))
 
 
 def lookup(index: DataFrame, ids: DataFrame) -> DataFrame:
