@@ -68,7 +68,7 @@ class HashTable:
 class PieceEncoder:
     """Ids of whole columns of texts, for a tokenizer file of this kind."""
 
-    def __init__(self, path: str, bits: int = 22):
+    def __init__(self, path: str, bits: int = 21):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
