@@ -3,12 +3,17 @@
 A candidate is a run of at least ``LEAST`` characters that tokens and keys are
 written with. The network reads the characters before it, its own and those after
 it; over a longer run than ``INSIDE`` it slides in steps of half of that, and its largest
-score counts. It is trained in numpy on labelled findings: candidates of the corpus, labelled
-by the fixed patterns (a bounded sample, by hash), and made-up keys, names,
-addresses and paths of other kinds. Its score is calibrated on findings it wasn't
-trained on, and the threshold is the highest that still finds ``recall`` of those
-that are secrets. Candidates above it are added whole, but those that the fixed
-findings cover already, up to marks that are no letters or digits.
+score counts. It is trained in numpy on labelled findings, of which a bounded sample by
+hash is taken from the corpus: what the fixed patterns find, with and without the
+characters before it, so that it must know a key by itself; candidates that they don't
+touch, as counterexamples; keys of other kinds planted between the characters around
+such candidates; and made-up keys, names, addresses and paths.
+
+Its score is calibrated, and its threshold set, on findings it wasn't trained on: all of
+a quarter of the corpus's candidates, by hash, and a quarter of the planted and made-up
+ones. The threshold is one half or, if that doesn't find ``recall`` of the secrets of the
+corpus and also of the others, the highest that does. Candidates above it are added whole, but those that the
+fixed findings cover already, up to marks that are no letters or digits.
 
 Defined cases: a null text is empty and has no spans; repeated rows are scanned
 each; a null doc_id is kept; an empty table gives no rows; other columns are kept by
@@ -24,11 +29,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import small_batches, table
-from ._textkernel import pieces, utf8
+from ._shared import cut, remove, small_batches, table
+from ._textkernel import mix, pieces, utf8
 
 # The patterns that findings of each kind must match, in this order.
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I)
@@ -37,7 +43,7 @@ HEX = re.compile(rb"[0-9a-f]+")
 KINDS = ("assign", "access", "hex", "network")
 CLUES = (b"passw", b"secret", b"token", b"api")
 
-LEAST, BEFORE, INSIDE, AFTER = 16, 24, 40, 8
+LEAST, BEFORE, INSIDE, AFTER = 12, 24, 40, 8
 WIDTH = BEFORE + INSIDE + AFTER
 CANDIDATE = np.zeros(256, bool)
 MARK = np.isin(np.arange(256), [ord(c) for c in "+/_.=-"])
@@ -125,16 +131,23 @@ class Network:
                     v[k] = 0.999 * v.get(k, 0) + 0.001 * q * q
                     self.p[k] = self.p[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float) -> None:
-        """A logistic curve over the score, then the highest threshold with this recall (never below 0.5)."""
-        z = self.logit(x)
+    def calibrate(self, z: np.ndarray, y: np.ndarray, weight: np.ndarray, groups: np.ndarray, recall: float) -> None:
+        """A logistic curve over the logits, then the threshold: one half, or the highest below it with this recall in every group.
+
+        The four arrays are a weighted sample: logits, labels, weights and the group that each is of.
+        """
+        weight = weight / np.maximum(np.where(y > 0, weight[y > 0].sum(), weight[y == 0].sum()), 1e-9)  # both labels alike
         a, b = 1.0, 0.0
         for _ in range(400):
-            p = 1 / (1 + np.exp(-np.clip(a * z + b, -50, 50)))
-            a, b = a - 0.05 * (((p - y) * z).mean() + 1e-3 * a), b - 0.05 * (p - y).mean()
-        self.scale, self.shift = a, b
-        own = np.sort(self.chance(x[y > 0]))
-        self.threshold = max(0.5, own[int((1 - recall) * len(own))]) if len(own) else 0.5
+            off = weight * (1 / (1 + np.exp(-np.clip(a * z + b, -50, 50))) - y)
+            a, b = a - 0.05 * ((off * z).sum() + 1e-3 * a), b - 0.05 * off.sum()
+        self.scale, self.shift, least = max(a, 1e-3), b, []
+        for g in np.unique(groups[y > 0]):
+            mine = np.flatnonzero((y > 0) & (groups == g))
+            mine = mine[np.argsort(-z[mine], kind="stable")]
+            reached = np.cumsum(weight[mine]) / weight[mine].sum()
+            least.append(z[mine[min(np.searchsorted(reached, recall - 1e-9), len(mine) - 1)]])
+        self.threshold = min(0.5, *(float(1 / (1 + np.exp(-np.clip(self.scale * x + self.shift, -50, 50)))) for x in least), 0.5)
 
 
 def made_up(n: int, seed: int = 17) -> tuple[list[tuple[bytes, int, int]], np.ndarray]:
@@ -261,29 +274,94 @@ def _parts(column: pa.Array):
         yield a, b, find(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
 
 
+#: Bins of logits for the calibration on the corpus.
+LOGITS = np.linspace(-24, 24, 961)
+
+
+def _labelled(f: Found) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows, labels and hashes of all slices that the fixed findings fill, or don't touch."""
+    of, low, high = slices(f.start, f.end)
+    shown = f.covered[high] - f.covered[low]
+    sure = (shown == 0) | (shown >= LEAST)
+    of, low, high, shown = of[sure], low[sure], high[sure], shown[sure]
+    row = f.row[of]
+    x = windows(f.data, low, high, f.offsets[row], f.offsets[row + 1]).astype(np.uint8)
+    wide = np.zeros((len(x), WIDTH // 8), np.uint64)
+    wide[:] = np.ascontiguousarray(x).view(np.uint64)
+    order = mix((wide * (np.arange(1, WIDTH // 8 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1))).sum(1, dtype=np.uint64))
+    return x, shown > 0, order >> np.uint64(1)
+
+
 def findings(docs: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Windows and labels of at most ``most`` slices of candidates of each label: those with the smallest hashes."""
+    """Windows and labels of at most ``most`` different slices of each label: those with the smallest hashes but a quarter of all, which are kept apart. One scan."""
 
     def run(batches):
+        held = [np.zeros((0, WIDTH), np.uint8)] * 2, [np.zeros(0, np.uint64)] * 2
         for batch in batches:
             for _, _, f in _parts(batch.column(0)):
-                of, low, high = slices(f.start, f.end)
-                x = windows(f.data, low, high, f.offsets[f.row[of]], f.offsets[f.row[of] + 1]).astype(np.uint8)
-                body = [w.tobytes() for w in x]
-                order = [int.from_bytes(hashlib.blake2b(w, digest_size=7).digest()) for w in body]
-                yield pa.RecordBatch.from_arrays([pa.array(body, pa.binary()), pa.array(f.covered[high] > f.covered[low]), pa.array(order, pa.int64())], ["x", "y", "o"])
+                x, y, o = _labelled(f)
+                for k in (0, 1):
+                    mine = (y == k) & (o % np.uint64(4) > 0)
+                    o_all, first = np.unique(np.concatenate([held[1][k], o[mine]]), return_index=True)
+                    held[0][k], held[1][k] = np.concatenate([held[0][k], x[mine]])[first[:most]], o_all[:most]
+        for k in (0, 1):
+            yield pa.RecordBatch.from_arrays([pa.array([w.tobytes() for w in held[0][k]], pa.binary()), pa.array(np.full(len(held[1][k]), k, np.int32)), pa.array(held[1][k].astype(np.int64))], ["x", "y", "o"])
 
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col("text").cast("string")).mapInArrow(run, "x binary, y boolean, o long").groupBy("y", "o").agg(F.first("x").alias("x"))
-    got = [r for y in (True, False) for r in rows.where(F.col("y") == y).orderBy("o").limit(most).collect()]
-    return (np.array([np.frombuffer(r["x"], np.uint8) for r in got], np.int64).reshape(len(got), WIDTH), np.array([int(r["y"]) for r in got]))
+    rows = cut(docs.select(F.col("text").cast("string")).mapInArrow(run, "x binary, y int, o long"), "findings")
+    got = [r for y in (1, 0) for r in rows.where(F.col("y") == y).groupBy("o").agg(F.first("x").alias("x"), F.first("y").alias("y")).orderBy("o").limit(most).collect()]
+    remove(docs.sparkSession, rows)
+    return np.array([np.frombuffer(r["x"], np.uint8) for r in got], np.int64).reshape(len(got), WIDTH), np.array([r["y"] for r in got], np.int64)
+
+
+def spread(docs: DataFrame, network: Network) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logits (centres of bins), labels and numbers of all the corpus's slices that were kept apart."""
+    model = docs.sparkSession.sparkContext.broadcast(network)
+
+    def run(batches):
+        for batch in batches:
+            total = np.zeros((2, len(LOGITS) + 1), np.int64)
+            for _, _, f in _parts(batch.column(0)):
+                x, y, o = _labelled(f)
+                apart = np.flatnonzero(o % np.uint64(4) == 0)
+                for i in range(0, len(apart), 4096):
+                    at = apart[i : i + 4096]
+                    np.add.at(total, (y[at].astype(np.int64), np.searchsorted(LOGITS, model.value.logit(x[at].astype(np.int64)))), 1)
+            label, place = np.nonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(label), pa.array(place), pa.array(total[label, place])], ["y", "at", "n"])
+
+    small_batches(docs.sparkSession)
+    got = docs.select(F.col("text").cast("string")).mapInArrow(run, "y long, at long, n long").groupBy("y", "at").agg(F.sum("n").alias("n")).collect()  # two rows a bin at most
+    edges = np.concatenate([LOGITS[:1], LOGITS])  # a bin counts as its lower end
+    return np.array([edges[r["at"]] for r in got]), np.array([r["y"] for r in got], float), np.array([r["n"] for r in got], float)
+
+
+def planted(x: np.ndarray, y: np.ndarray, n: int, seed: int = 31) -> np.ndarray:
+    """Windows of keys of other kinds between the characters around candidates of the corpus that are no secrets."""
+    plain = x[y == 0]
+    keys, labels = made_up(2 * n, seed)
+    keys = [t[a:b] for (t, a, b), one in zip(keys, labels, strict=True) if one]
+    if not len(plain):
+        return plain
+    rng, out = np.random.default_rng(seed), np.full((len(keys), WIDTH), PAD)
+    for i, key in enumerate(keys):
+        one = plain[rng.integers(len(plain))]
+        at = int(rng.integers(0, max(1, len(key) - INSIDE + 1))) if rng.integers(2) else 0
+        part = CLASS[np.frombuffer(key[at : at + INSIDE], np.uint8)]
+        out[i, :BEFORE] = one[:BEFORE] if at < BEFORE else CLASS[np.frombuffer(key[at - BEFORE : at], np.uint8)]
+        out[i, BEFORE : BEFORE + len(part)] = part
+        out[i, BEFORE + INSIDE :] = one[BEFORE + INSIDE :]
+    return out
 
 
 def train(docs: DataFrame, most: int = 1500, artificial: int = 2000, recall: float = 0.99) -> Network:
-    """The network, its calibration and threshold, from at most 2 * most labelled slices and the made-up findings' own."""
+    """The network, its calibration and threshold. It is fitted to at most 2 * most labelled slices of the corpus, each secret also without what precedes it, and the planted and made-up ones."""
     x, y = findings(docs, most)
+    bare = x[y == 1].copy()
+    bare[:, :BEFORE] = PAD
+    other = planted(x, y, artificial // 2)
     made, labels = made_up(artificial)
-    mine, label = [], []
+    mine, label = [other], [1] * len(other)
     for (t, a, b), one in zip(made, labels, strict=True):
         _, low, high = slices(np.array([a]), np.array([b]))
         mine.append(windows(np.frombuffer(t, np.uint8), low, high, np.zeros_like(low), np.full_like(low, len(t))))
@@ -294,13 +372,21 @@ def train(docs: DataFrame, most: int = 1500, artificial: int = 2000, recall: flo
         sure = (shown <= 0) | (shown >= INSIDE // 4)  # a few bytes of a key are neither
         mine.append(windows(np.frombuffer(t, np.uint8), low[sure], high[sure], np.zeros_like(low[sure]), np.full_like(low[sure], len(t))))
         label += (shown[sure] > 0).astype(int).tolist()
-    x, y = np.concatenate([x, *mine]), np.concatenate([y, label])
-    order = np.random.default_rng(1).permutation(len(x))
-    x, y = x[order], y[order].astype(float)
-    apart = np.arange(len(x)) % 4 == 0
+    own, own_y = np.concatenate(mine), np.array(label, float)
+    order = np.random.default_rng(1).permutation(len(own))
+    own, own_y = own[order], own_y[order]
+    apart = np.arange(len(own)) % 4 == 0
+    fit_x, fit_y = np.concatenate([x, bare, own[~apart]]), np.concatenate([y, np.ones(len(bare)), own_y[~apart]]).astype(float)
     network = Network()
-    network.fit(x[~apart], y[~apart])
-    network.calibrate(x[apart], y[apart], recall)
+    order = np.random.default_rng(2).permutation(len(fit_x))
+    network.fit(fit_x[order], fit_y[order])
+    # a corpus holds secrets that the patterns miss: its counterexamples that look like some are left out of the second fit
+    doubtful = np.zeros(len(fit_x), bool)
+    doubtful[: len(x)] = (y == 0) & (network.logit(x) > 0)
+    order, network = order[~doubtful[order]], Network()
+    network.fit(fit_x[order], fit_y[order])
+    z, one, n = spread(docs, network)
+    network.calibrate(np.concatenate([z, network.logit(own[apart])]), np.concatenate([one, own_y[apart]]), np.concatenate([n, np.ones(int(apart.sum()))]), np.repeat([0, 1], [len(z), int(apart.sum())]), recall)
     return network
 
 
@@ -337,9 +423,10 @@ def scan(docs: DataFrame, network: Network) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
-def redact(docs: DataFrame, network: Network, mark: str = "[secret]") -> DataFrame:
-    """``docs`` with every span in ``text`` replaced; a null text stays null."""
+def redact(docs: DataFrame, network: Network, mark: str = "[secret]", count: str | None = None) -> DataFrame:
+    """``docs`` with every span in ``text`` replaced; a null text stays null. The column ``count``, if there, has the length of a text that changed."""
     model, at = docs.sparkSession.sparkContext.broadcast(network), docs.columns.index("text")
+    counted = docs.columns.index(count) if count in docs.columns else -1
 
     def clean(text: str, spans) -> str:
         out, place = [], 0
@@ -354,10 +441,15 @@ def redact(docs: DataFrame, network: Network, mark: str = "[secret]") -> DataFra
             texts: list[str | None] = []
             for a, b, f in _parts(batch.column(at)):
                 texts += [clean(t, s) if s else t for t, s in zip(batch.column(at)[a:b].to_pylist(), _spans(f, model.value), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns)], batch.schema.names)
+            columns = list(batch.columns)
+            columns[at] = pa.array(texts, pa.string())
+            if counted >= 0:
+                changed = pc.not_equal(columns[at], batch.column(at))
+                columns[counted] = pc.if_else(pc.fill_null(changed, False), pc.utf8_length(columns[at]).cast(columns[counted].type), columns[counted])
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
     small_batches(docs.sparkSession)
-    return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
+    return docs.mapInArrow(run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
