@@ -7,6 +7,7 @@ costs at most the tasks it was running.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -45,6 +46,12 @@ def remove(spark: SparkSession, df: DataFrame) -> None:
         folder.getFileSystem(conf).delete(folder, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished jobs: Spark drops them once the driver has collected what refers to them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Fewer rows per Arrow batch, for whole texts; a smaller setting stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
