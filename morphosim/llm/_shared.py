@@ -7,7 +7,6 @@ costs at most the tasks it was running.
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -17,9 +16,11 @@ from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; only a session without one gets a folder of this machine."""
+    """The cluster's shared folder; only a session that runs on this machine alone gets one of its own, as in tests."""
     name = spark.conf.get("spark.checkpoint.dir", None)
     if not name:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         name = f"file://{tempfile.mkdtemp(prefix='morphosim-')}"
         spark.conf.set("spark.checkpoint.dir", name)
     return name.rstrip("/")
@@ -29,11 +30,23 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark's own setting to delete an execution's shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: an end of lineage that survives lost executors."""
+    """Write ``df`` to the shared folder and read it back: an end of lineage that survives lost executors.
+
+    The shuffle files of the write are deleted with its end, as nothing reads them again;
+    the setting that does it is the session's own again afterwards.
+    """
     spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
+    path, before = new_path(spark, name), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -46,12 +59,6 @@ def remove(spark: SparkSession, df: DataFrame) -> None:
         folder.getFileSystem(conf).delete(folder, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let go of the shuffle files of finished jobs: Spark drops them once the driver has collected what refers to them."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Fewer rows per Arrow batch, for whole texts; a smaller setting stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
