@@ -26,8 +26,8 @@ gives the scores. Frequent n-grams are counted within the chunk before anything
 so no key is hot; only the sums of the expectation step, a few hundred numbers, and the
 model's totals reach the driver, and only these and the weights the tasks.
 
-N-grams with equal hashes are taken for one; of 10**10 distinct ones some two or three
-pairs are.
+N-grams whose hashes agree in ``BITS`` bits are taken for one: some 700 pairs of 10**10
+distinct ones.
 
 Defined cases: a null text is empty and has the end token alone; a null id counts
 as the empty text for the split; repeated rows are scored (and learned from) each;
@@ -37,6 +37,7 @@ text is a chunk of its own; other columns, of whatever name, are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -49,9 +50,10 @@ from ._shared import cut, doc_crc, remove, small_batches, table
 from ._textkernel import Words, as_long, mix, pieces, utf8
 
 U64 = np.uint64
-END = U64(0x656E64)  # the end token's hash
+END = U64(0x656E64 << 32)  # the end token's hash
 BASE = U64(0x9E3779B97F4A7C15)
 FIT, HELD, TEST = 0, 1, 2
+BITS = 56
 CHUNK = "chunk long, held boolean, tokens long, body binary"
 
 
@@ -60,8 +62,8 @@ class Settings:
     folds: int = 8
     rounds: int = 25
     classes: int = 8
-    chunk: int = 2_000_000
-    bucket: int = 2_000_000
+    chunk: int = 1_500_000
+    bucket: int = 1_000_000
 
 
 class Chunk:
@@ -82,18 +84,21 @@ class Chunk:
         ids, null, test, count, steps, often, number = (expand(p) for p in split_parts(body))
         return cls(ids.view(np.int64), null > 0, test > 0, count.astype(np.int64), np.cumsum(steps, dtype=U64), often.astype(np.int64)[number.astype(np.int64)])
 
-    def grams(self) -> list[np.ndarray]:
-        """The hash of the pair and of the three tokens that end at each token."""
-        word = self.vocabulary[self.at]
-        first = np.concatenate([[0], np.cumsum(self.count)[:-1]]).astype(np.int64)[self.count > 0]
+    def grams(self) -> Iterator[np.ndarray]:
+        """The hash of the pair, then of the three tokens, that end at each token."""
+        word, first = self.vocabulary[self.at], self.starts()
         one = np.concatenate([[END], word[:-1]])
         one[first] = END
         pair = mix(mix(one) * BASE + word)
+        del word
+        yield pair >> U64(64 - BITS)
         two = np.concatenate([[END], one[:-1]])
         two[first] = END
-        return [pair, mix(mix(two * BASE + U64(3)) * BASE + pair)]
+        del one
+        yield mix(mix(two * BASE + U64(3)) * BASE + pair) >> U64(64 - BITS)
 
     def starts(self) -> np.ndarray:
+        """Each document's first token; every document has one."""
         return np.concatenate([[0], np.cumsum(self.count)[:-1]]).astype(np.int64)
 
 
@@ -115,7 +120,7 @@ def chunks(docs: DataFrame, s: Settings) -> DataFrame:
         def close(held: bool) -> pa.RecordBatch:
             nonlocal number
             ids, null, test, count, words = (np.concatenate(x) for x in zip(*open_[held], strict=True))
-            vocabulary, at = np.unique(words, return_inverse=True)
+            vocabulary, at = np.unique(words >> U64(64 - BITS), return_inverse=True)
             body = Chunk(ids, null, test, count, vocabulary, at).packed()
             n, open_[held], size[held] = size[held], [], 0
             number += 1
@@ -160,7 +165,7 @@ def _distinct(keys: np.ndarray, counted: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def _limits(buckets: int) -> np.ndarray:
     """The first hash of each bucket but the first."""
-    return np.array([(i << 64) // buckets for i in range(1, buckets)], U64)
+    return np.array([(i << BITS) // buckets for i in range(1, buckets)], U64)
 
 
 def requests(chunked: DataFrame, buckets: int) -> DataFrame:
