@@ -2,13 +2,55 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Rows that a single task may take quantiles of.
+MOST = 2_000_000
+
+
+def exact_quantiles(df: DataFrame, columns: dict[str, Sequence[float]], most: int | None = None) -> dict[str, list[float] | None]:
+    """Exact, linearly interpolated quantiles of columns, null where a column has no values.
+
+    Up to ``most`` rows one task counts the values. Beyond, approximate quantiles give
+    bounds around each place, the rows below and between them are counted, and only
+    those between are searched on: a scan or two a thousandfold of rows.
+    """
+    most = most or MOST
+    counts = df.agg(*[F.count(c).alias(c) for c in columns]).first()
+    small = {c: at for c, at in columns.items() if 0 < counts[c] <= most}
+    out: dict[str, list[float] | None] = dict.fromkeys(columns)
+    if small:
+        out |= df.agg(*[F.percentile(F.col(c), F.array(*[F.lit(float(q)) for q in at])).alias(c) for c, at in small.items()]).first().asDict()
+    for c, at in columns.items():
+        if counts[c] > most:
+            out[c] = [_at_place(df.select(F.col(c).cast("double").alias("v")).where("v is not null"), counts[c], float(q) * (counts[c] - 1), most) for q in at]
+    return out
+
+
+def _at_place(rows: DataFrame, n: int, place: float, most: int) -> float:
+    """The value at a place (from 0, interpolated) of n values v in order."""
+    v, wide = F.col("v"), 4e-4
+    while n > most:
+        ends = [F.lit(min(1.0, max(0.0, place / (n - 1) + w))) for w in (-wide, wide)]
+        low, high = rows.agg(F.percentile_approx("v", F.array(*ends), F.lit(10_000)).alias("q")).first()["q"]
+        below, inside = rows.agg(F.count(F.when(v < low, 1)), F.count(F.when((v >= low) & (v <= high), 1))).first()
+        if place < below or place > below + inside - 1:
+            wide *= 4  # the bounds missed it
+        elif low == high:
+            return low
+        elif inside > 0.9 * n:  # few values, often repeated
+            share = place / (n - 1)
+            return rows.groupBy("v").agg(F.count(F.lit(1)).alias("n")).agg(F.percentile("v", F.lit(share), F.col("n"))).first()[0]
+        else:
+            rows, n, place = rows.where((v >= low) & (v <= high)), inside, place - below
+    return rows.agg(F.percentile("v", F.lit(place / max(n - 1, 1)))).first()[0]
+
+
 class Bins:
     """Consecutive bins [b0, b1), [b1, b2), ... of N ascending bounds.
 
@@ -40,7 +82,7 @@ class Bins:
     @classmethod
     def quantiles(cls, df: DataFrame, column: str, at: Sequence[float], left: bool = True, right: bool = True) -> Bins:
         """Bounds at exact, linearly interpolated quantiles of a column."""
-        got = df.agg(F.percentile(F.col(column), F.array(*[F.lit(float(q)) for q in at])).alias("q")).first()["q"]
+        got = exact_quantiles(df, {column: at})[column]
         if got is None:
             raise ValueError("no values to take quantiles of")
         return cls(got, left, right)
@@ -48,7 +90,11 @@ class Bins:
     @classmethod
     def n_quantiles(cls, df: DataFrame, column: str, n: int, left: bool = True, right: bool = True) -> Bins:
         """n bins at quantiles i / (n + 1), i from 0 to n: the highest values are beyond the last bound."""
-        return cls.quantiles(df, column, [i / (n + 1) for i in range(n + 1)], left, right)
+        return cls.quantiles(df, column, cls.shares(n), left, right)
+
+    @staticmethod
+    def shares(n: int) -> list[float]:
+        return [i / (n + 1) for i in range(n + 1)]
 
     @classmethod
     def inner(cls, bounds: Sequence[float]) -> Bins:
@@ -56,18 +102,18 @@ class Bins:
         return cls([float("-inf"), *bounds, float("inf")])
 
     def index(self, v: Column) -> Column:
-        """The bin's number, from 0; null for a null value or one beyond an end that doesn't snap."""
+        """The bin's number, from 0; null for a null value, NaN, or one beyond an end that doesn't snap."""
         n = len(self)
         reached = reduce(lambda a, b: a + b, [F.when(v >= F.lit(b), 1).otherwise(0) for b in self.bounds]) - 1
         low = F.lit(0 if self.left else None).cast("int")
         high = F.lit(n - 1 if self.right else None).cast("int")
-        return F.when(v.isNull(), F.lit(None).cast("int")).when(reached < 0, low).when(reached >= n, high).otherwise(reached)
+        return F.when(v.isNull() | F.isnan(v.cast("double")), F.lit(None).cast("int")).when(reached < 0, low).when(reached >= n, high).otherwise(reached)
 
 
 def upper_index(uppers: Sequence[float], v: Column) -> Column:
     """The other convention: N upper bounds make N bins, a value equal to a bound goes to the next, the last bin is open."""
     reached = reduce(lambda a, b: a + b, [F.when(v >= F.lit(float(b)), 1).otherwise(0) for b in uppers])
-    return F.when(v.isNull(), F.lit(None).cast("int")).otherwise(F.least(F.lit(len(uppers) - 1), reached))
+    return F.when(v.isNull() | F.isnan(v.cast("double")), F.lit(None).cast("int")).otherwise(F.least(F.lit(len(uppers) - 1), reached))
 
 
 class Grid:
@@ -146,8 +192,3 @@ class UpperTable:
     def score(self, dist: Column, dot: Column) -> Column:
         at = upper_index(self.dist, dist) * len(self.dot) + upper_index(self.dot, dot)
         return F.element_at(F.array(*[F.lit(c) for c in self.cells]), at + 1)
-
-
-def table_function(table: ScoreTable | UpperTable) -> Callable[[Column, Column], Column]:
-    """A table as a function of two Columns."""
-    return table.score

@@ -29,8 +29,9 @@ def distance(ax: Column, ay: Column, az: Column, bx: Column, by: Column, bz: Col
 
 
 def geometric_mean(a: Column, b: Column) -> Column:
-    """Negative values count as zero."""
-    return F.sqrt(F.greatest(a, F.lit(0.0)) * F.greatest(b, F.lit(0.0)))
+    """Negative values and NaN count as zero."""
+    some = lambda v: F.when(v > 0, F.nanvl(v, F.lit(0.0))).when(v.isNotNull(), F.lit(0.0))
+    return F.sqrt(some(a) * some(b))
 
 
 def harmonic_mean(a: Column, b: Column) -> Column:
@@ -75,20 +76,6 @@ def unit(x: Column, y: Column, z: Column) -> tuple[Column, Column, Column]:
     return x / n, y / n, z / n
 
 
-def alpha_of_scatter(xx: Column, yy: Column, zz: Column, xy: Column, xz: Column, yz: Column) -> Column:
-    """(l1 - l2) / (l1 + l2 + l3) of a symmetric 3 x 3 matrix, by the closed trigonometric form (Smith, 1961)."""
-    q = (xx + yy + zz) / 3
-    p = F.sqrt(((xx - q) * (xx - q) + (yy - q) * (yy - q) + (zz - q) * (zz - q) + 2 * (xy * xy + xz * xz + yz * yz)) / 6)
-    a, b, c = (xx - q) / p, (yy - q) / p, (zz - q) / p
-    d, e, f = xy / p, xz / p, yz / p
-    r = (a * (b * c - f * f) - d * (d * c - f * e) + e * (d * f - b * e)) / 2
-    phi = F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), r))) / 3
-    l1 = q + 2 * p * F.cos(phi)
-    l3 = q + 2 * p * F.cos(phi + F.lit(2.0943951023931953))
-    l2 = 3 * q - l1 - l3
-    return F.when(q <= 0, F.lit(float("nan"))).when(p == 0, F.lit(0.0)).otherwise((l1 - l2) / (3 * q))
-
-
 def augmented(points: DataFrame, shift: float, jitter: float, seed: int = 1991) -> DataFrame:
     """Clouds moved as a whole and point by point by normal noise, for benchmarks; the shift is a function of cloud and seed."""
     u = lambda salt: (F.pmod(F.xxhash64("cloud_id", F.lit(seed), F.lit(salt)), F.lit(1 << 30)) + F.lit(1)) / F.lit((1 << 30) + 1)

@@ -117,6 +117,11 @@ def validated(skeletons: DataFrame) -> DataFrame:
     return _each(skeletons, _rows, SCHEMA)
 
 
+def ordered(skeletons: DataFrame) -> DataFrame:
+    """``validated`` with each node's place in pre-order."""
+    return _each(skeletons, lambda t: _rows(t).assign(place=np.arange(len(t.ids))), SCHEMA + ", place long")
+
+
 def prune_at(skeletons: DataFrame, ids: list[int]) -> DataFrame:
     """Without the nodes and all that hangs on them."""
     gone = set(ids)

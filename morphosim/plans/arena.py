@@ -55,8 +55,8 @@ class Arena:
     def __len__(self) -> int:
         return 0 if self.clouds is None else self.ids().count()
 
-    def query_pairs(self, pairs: DataFrame, normalize: bool = False, symmetry: str | None = None, max_centroid_dist: float | None = None) -> DataFrame:
-        return scores(self.clouds, pairs, self.table, self.use_alpha, normalize, symmetry, max_centroid_dist)
+    def query_pairs(self, pairs: DataFrame, normalize: bool = False, symmetry: str | None = None, max_centroid_dist: float | None = None, compat_centroids: bool = False) -> DataFrame:
+        return scores(self.clouds, pairs, self.table, self.use_alpha, normalize, symmetry, max_centroid_dist, compat_centroids)
 
     def queries_targets(self, queries: Sequence[int], targets: Sequence[int], **how) -> DataFrame:
         ids = lambda x: self.spark.createDataFrame([(int(i),) for i in x], "cloud_id long")

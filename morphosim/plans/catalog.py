@@ -18,6 +18,7 @@ from ..functions import vectors as V
 from ..functions.bins import Bins, Grid, ScoreTable, UpperTable
 from ..operators import arbor, neighbours, scoring, training
 from ..sources import io
+from .arena import Arena
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -185,26 +186,106 @@ def knn_self(spark, d):
     return neighbours.neighbourhoods(small_clouds(spark, d).select("cloud_id", "point_idx", *"xyz"), K).withColumn("dist", F.round("dist", 9))
 
 
-@query(f"WITH {G_SQL.replace('FROM lineitem', 'FROM lineitem WHERE l_suppkey < 10')} SELECT a.cloud_id, a.point_idx, (row_number() OVER (PARTITION BY a.cloud_id, a.point_idx ORDER BY (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z), b.point_idx) - 1)::INTEGER AS rank, b.point_idx AS nbr_idx FROM l a JOIN l b ON a.cloud_id = b.cloud_id QUALIFY rank < 3".replace("FROM lineitem WHERE l_suppkey < 10", "FROM lineitem"))
+@query(f"WITH {G_SQL} SELECT a.cloud_id, a.point_idx, (row_number() OVER (PARTITION BY a.cloud_id, a.point_idx ORDER BY (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z), b.point_idx) - 1)::INTEGER AS rank, b.point_idx AS nbr_idx FROM l a JOIN l b ON a.cloud_id = b.cloud_id QUALIFY rank < 3")
 def knn_large(spark, d):
     """J1 on all large clouds, whose points repeat."""
     return neighbours.neighbourhoods(large_clouds(spark, d), 3).select("cloud_id", "point_idx", "rank", "nbr_idx")
 
 
-@query(f"""WITH {KNN_SQL}, s AS (SELECT cloud_id, point_idx, sum(x * x) - sum(x) * sum(x) / {K} AS xx, sum(y * y) - sum(y) * sum(y) / {K} AS yy, sum(z * z) - sum(z) * sum(z) / {K} AS zz, sum(x * y) - sum(x) * sum(y) / {K} AS xy, sum(x * z) - sum(x) * sum(z) / {K} AS xz, sum(y * z) - sum(y) * sum(z) / {K} AS yz FROM k GROUP BY 1, 2),
-p AS (SELECT *, (xx + yy + zz) / 3 AS q FROM s), p2 AS (SELECT *, sqrt(((xx - q) * (xx - q) + (yy - q) * (yy - q) + (zz - q) * (zz - q) + 2 * (xy * xy + xz * xz + yz * yz)) / 6) AS p FROM p),
-r AS (SELECT *, acos(least(1.0, greatest(-1.0, ((xx - q) * ((yy - q) * (zz - q) - yz * yz) - xy * (xy * (zz - q) - yz * xz) + xz * (xy * yz - (yy - q) * xz)) / (p * p * p) / 2))) / 3 AS phi FROM p2),
-l AS (SELECT *, q + 2 * p * cos(phi) AS l1, q + 2 * p * cos(phi + 2.0943951023931953) AS l3 FROM r) SELECT cloud_id, point_idx, round((l1 - (3 * q - l1 - l3)) / (3 * q), 5) + 0.0 AS alpha FROM l""")
+#: Scatter of neighbourhoods, its eigenvalues l1 >= l2 >= l3 by the trigonometric form, and the direction of l1 from (A - l2)(A - l3), whose columns all lie on it.
+E_SQL = KNN_SQL + f""", s AS (SELECT cloud_id, point_idx, sum(x * x) - sum(x) * sum(x) / {K} AS xx, sum(y * y) - sum(y) * sum(y) / {K} AS yy, sum(z * z) - sum(z) * sum(z) / {K} AS zz, sum(x * y) - sum(x) * sum(y) / {K} AS xy, sum(x * z) - sum(x) * sum(z) / {K} AS xz, sum(y * z) - sum(y) * sum(z) / {K} AS yz FROM k GROUP BY 1, 2),
+e0 AS (SELECT *, (xx + yy + zz) / 3 AS q FROM s), e1 AS (SELECT *, sqrt(((xx - q) * (xx - q) + (yy - q) * (yy - q) + (zz - q) * (zz - q) + 2 * (xy * xy + xz * xz + yz * yz)) / 6) AS p FROM e0),
+e2 AS (SELECT *, acos(least(1.0, greatest(-1.0, ((xx - q) * ((yy - q) * (zz - q) - yz * yz) - xy * (xy * (zz - q) - yz * xz) + xz * (xy * yz - (yy - q) * xz)) / (p * p * p) / 2))) / 3 AS phi FROM e1),
+e3 AS (SELECT *, q + 2 * p * cos(phi) AS l1, q + 2 * p * cos(phi + 2.0943951023931953) AS l3 FROM e2), e4 AS (SELECT *, 3 * q - l1 - l3 AS l2 FROM e3),
+e5 AS (SELECT *, (xx - l2) * (xx - l3) + xy * xy + xz * xz AS b11, xy * (xx - l3) + (yy - l2) * xy + yz * xz AS b21, xz * (xx - l3) + yz * xy + (zz - l2) * xz AS b31, xy * xy + (yy - l2) * (yy - l3) + yz * yz AS b22, xz * xy + yz * (yy - l3) + (zz - l2) * yz AS b32, xz * xz + yz * yz + (zz - l2) * (zz - l3) AS b33 FROM e4),
+e6 AS (SELECT *, CASE WHEN b11 >= b22 AND b11 >= b33 THEN [b11, b21, b31] WHEN b22 >= b33 THEN [b21, b22, b32] ELSE [b31, b32, b33] END AS v FROM e5),
+e7 AS (SELECT *, sqrt(v[1] * v[1] + v[2] * v[2] + v[3] * v[3]) * CASE WHEN v[1] < 0 OR (v[1] = 0 AND (v[2] < 0 OR (v[2] = 0 AND v[3] < 0))) THEN -1 ELSE 1 END AS n FROM e6),
+e AS (SELECT cloud_id, point_idx, v[1] / n AS tx, v[2] / n AS ty, v[3] / n AS tz, (l1 - l2) / (3 * q) AS alpha FROM e7)"""
+
+
+def _dotprops(spark, d) -> DataFrame:
+    return neighbours.dotprops(small_clouds(spark, d).select("cloud_id", "point_idx", *"xyz"), K)
+
+
+@query(f"WITH {E_SQL} SELECT cloud_id, point_idx, round(alpha, 5) + 0.0 AS alpha FROM e")
 def alpha_values(spark, d):
     """Colinearity from eigenvalues."""
-    got = neighbours.dotprops(small_clouds(spark, d).select("cloud_id", "point_idx", *"xyz"), K)
-    return got.select("cloud_id", "point_idx", _r(F.col("alpha"), 5).alias("alpha"))
+    return _dotprops(spark, d).select("cloud_id", "point_idx", _r(F.col("alpha"), 5).alias("alpha"))
 
 
-@query(None)
+@query(f"WITH {E_SQL} SELECT cloud_id, point_idx, round(tx, 4) + 0.0 AS tx, round(ty, 4) + 0.0 AS ty, round(tz, 4) + 0.0 AS tz FROM e")
 def tangent_values(spark, d):
-    """P5: directions; SQL has no eigenvectors."""
-    return neighbours.dotprops(small_clouds(spark, d).select("cloud_id", "point_idx", *"xyz"), K)
+    """P5: directions."""
+    return _dotprops(spark, d).select("cloud_id", "point_idx", *[_r(F.col(c), 4).alias(c) for c in ("tx", "ty", "tz")])
+
+
+def _arena(spark, d) -> Arena:
+    return Arena(spark, TABLE, k=K).add_points(small_clouds(spark, d).select("cloud_id", "point_idx", *"xyz"))
+
+
+A_SQL = RAW_SQL.replace(C_SQL, E_SQL.replace("c AS (SELECT label", "c0 AS (SELECT label").replace("FROM c a JOIN c b", "FROM c0 a JOIN c0 b") + ", c AS (SELECT c0.* EXCLUDE (tx, ty, tz, alpha), e.tx, e.ty, e.tz, e.alpha FROM c0 JOIN e USING (cloud_id, point_idx))") + ", nrm AS (SELECT query_id, target_id, s / hit AS s FROM raw JOIN h ON cloud_id = query_id)"
+
+
+@query(f"WITH {A_SQL} SELECT a.query_id, a.target_id, round(sqrt(greatest(a.s, 0) * greatest(b.s, 0)), 6) + 0.0 AS score FROM nrm a JOIN nrm b ON a.query_id = b.target_id AND a.target_id = b.query_id UNION ALL SELECT cloud_id, cloud_id, 1.0 FROM h")
+def arena_all_v_all(spark, d):
+    """Q-a to Q-f: points in, all against all out, by the facade."""
+    return _arena(spark, d).all_v_all(normalize=True, symmetry="geometric_mean").withColumn("score", _r(F.col("score")))
+
+
+@query(f"WITH {A_SQL} SELECT query_id, target_id, round(s, 6) + 0.0 AS score FROM raw WHERE query_id IN (1, 2, 3) AND target_id IN (4, 5)")
+def arena_queries_targets(spark, d):
+    """Q-d: a product of two lists with repeats and an unknown id."""
+    return _arena(spark, d).queries_targets([1, 2, 3, 3], [4, 5, 999]).withColumn("score", _r(F.col("score")))
+
+
+@query(f"WITH {A_SQL}, x AS (SELECT * FROM h WHERE cloud_id = 2), y AS (SELECT * FROM h WHERE cloud_id = 7) SELECT (SELECT count(*) FROM h) AS n, (SELECT round(s, 6) FROM raw WHERE query_id = 2 AND target_id = 7) AS score, (SELECT hit FROM x) AS own, sqrt((x.cx - y.cx) * (x.cx - y.cx) + (x.cy - y.cy) * (x.cy - y.cy) + (x.cz - y.cz) * (x.cz - y.cz)) < {NEAR} AS near, (SELECT count(*) FROM c WHERE cloud_id = 2) AS n_points FROM x, y")
+def arena_single_values(spark, d):
+    """Q-c, Q-g, Q-h, Q-i, P15: the facade's single values."""
+    a = _arena(spark, d)
+    row = (len(a.copy()), round(a.query_target(2, 7), 6), a.self_hit(2), a.centroids_within_distance(2, 7, NEAR), a.cloud(2, rectify=True).count())
+    return spark.createDataFrame([row], "n long, score double, own double, near boolean, n_points long")
+
+
+@query(f"WITH {RAW_SQL}, r AS (SELECT query_id, target_id, s FROM raw UNION ALL SELECT cloud_id, cloud_id, hit FROM h) SELECT query_id, {', '.join(f'round(max(s) FILTER (target_id = {i}), 6) + 0.0 AS t{i}' for i in range(10))} FROM r GROUP BY 1")
+def score_matrix(spark, d):
+    """A column for each target."""
+    got = io.matrix(_scores(spark, d), range(10))
+    return got.select("query_id", *[_r(F.col(str(i))).alias(f"t{i}") for i in range(10)])
+
+
+@query(f"WITH {RAW_SQL}, r AS (SELECT query_id, target_id, s FROM raw UNION ALL SELECT cloud_id, cloud_id, hit FROM h) SELECT query_id, target_id, round(s, 6) + 0.0 AS score FROM r")
+def score_maps(spark, d):
+    """A map for each query, taken apart again."""
+    return io.nested(_scores(spark, d)).select("query_id", F.explode("scores").alias("target_id", "score"))
+
+
+@query(f"WITH {C_SQL} SELECT cloud_id, (point_idx * 3 + i)::INTEGER AS place, round([x, y, z][i + 1], 9) + 0.0 AS point, round([tx, ty, tz][i + 1], 9) + 0.0 AS tangent, round(alpha, 9) AS alpha FROM c, range(3) r(i)")
+def flat_arrays(spark, d):
+    """Clouds as flat arrays and back."""
+    flat = io.to_flat(small_clouds(spark, d))
+    at = F.posexplode(F.arrays_zip("points", "tangents"))
+    rows = flat.select("cloud_id", "alphas", at.alias("place", "v"))
+    return rows.select("cloud_id", "place", _r(F.col("v.points"), 9).alias("point"), _r(F.col("v.tangents"), 9).alias("tangent"), F.round(F.get("alphas", (F.col("place") / 3).cast("int")), 9).alias("alpha"))
+
+
+_NAN_SQL = C_SQL.replace("c AS (SELECT label", "c9 AS (SELECT label") + ", c AS (SELECT * REPLACE (CASE WHEN point_idx % 7 = 0 THEN 0.0 ELSE alpha END AS alpha) FROM c9)"
+
+
+@query(f"WITH {M_SQL.replace(C_SQL, _NAN_SQL)} SELECT query_id, target_id, round(sum({_score_sql('dist', 'adot')}), 6) + 0.0 AS score FROM m GROUP BY 1, 2 UNION ALL SELECT cloud_id, cloud_id, round(sum({_score_sql('0.0', 'alpha')}), 6) + 0.0 FROM c GROUP BY 1")
+def alpha_scores_without_shape(spark, d):
+    """Points whose neighbours coincide have an alpha of NaN, which counts as 0."""
+    c = small_clouds(spark, d).withColumn("alpha", F.when(F.col("point_idx") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("alpha")))
+    ids = c.select("cloud_id").distinct()
+    return scoring.scores(c, scoring.product(ids, ids), TABLE, use_alpha=True).withColumn("score", _r(F.col("score")))
+
+
+@query(f"WITH {C_SQL}, g AS (SELECT *, floor(x / 4.0) AS gx, floor(y / 4.0) AS gy, floor(z / 4.0) AS gz FROM c) SELECT q.cloud_id AS query_id, t.cloud_id AS target_id, q.point_idx, round(sqrt(min((q.x - t.x) * (q.x - t.x) + (q.y - t.y) * (q.y - t.y) + (q.z - t.z) * (q.z - t.z))), 9) AS dist FROM g q JOIN g t ON q.cloud_id < t.cloud_id AND abs(q.gx - t.gx) <= 1 AND abs(q.gy - t.gy) <= 1 AND abs(q.gz - t.gz) <= 1 GROUP BY 1, 2, 3")
+def approximate_matches(spark, d):
+    """Only neighbours in the cells around."""
+    c = small_clouds(spark, d)
+    ids = c.select("cloud_id").distinct()
+    m = neighbours.grid_matches(c, scoring.product(ids, ids).where("query_id < target_id"), 4.0)
+    return m.select("query_id", "target_id", "point_idx", F.round("dist", 9).alias("dist"))
 
 
 @query(f"WITH {G_SQL} SELECT cloud_id, count(*) AS n_points, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy, round(avg(z), 6) AS cz FROM l GROUP BY 1")
@@ -290,6 +371,26 @@ _GRID = Grid(Bins(BOUNDS, False, False), Bins([0.0, 0.03, 0.06, 0.2], False, Fal
 _CELL_SQL = f"SELECT ({_snap_sql('NULL', 'NULL')}) * 3 + CASE WHEN l_discount < 0.03 THEN 0 WHEN l_discount < 0.06 THEN 1 ELSE 2 END AS cell, l_returnflag FROM lineitem WHERE l_discount >= 0 AND l_discount < 0.2"
 
 
+@query("SELECT concat_ws(',', CASE WHEN l_quantity < 10 OR l_quantity >= 40 THEN '0' END, CASE WHEN l_discount < 0.03 OR l_discount >= 0.08 THEN '1' END) AS dims, count(*) AS n FROM lineitem GROUP BY 1")
+def out_of_range(spark, d):
+    """All dimensions in which a value is in no bin."""
+    grid = Grid(Bins([10.0, 20.0, 40.0], False, False), Bins([0.03, 0.05, 0.08], False, False))
+    dims = F.concat_ws(",", grid.out_of_range(F.col("l_quantity"), F.col("l_discount")).cast("array<string>"))
+    return _table(spark, d, "lineitem").groupBy(dims.alias("dims")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT (CASE WHEN l_quantity < 10 THEN 0 WHEN l_quantity < 30 THEN 1 ELSE 2 END)::INTEGER AS bin, count(*) AS n FROM lineitem GROUP BY 1")
+def inner_bins(spark, d):
+    """Inner bounds, open to both sides."""
+    return _histogram(spark, d, Bins.inner([10.0, 30.0]))
+
+
+@query("SELECT round((l_extendedprice - l_quantity) * l_discount + l_quantity, 6) AS v, count(*) AS n FROM lineitem GROUP BY 1")
+def interpolated(spark, d):
+    """P13."""
+    return _table(spark, d, "lineitem").groupBy(F.round(V.interpolate(F.col("l_quantity"), F.col("l_extendedprice"), F.col("l_discount")), 6).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(f"WITH g AS ({_CELL_SQL}) SELECT i::INTEGER AS cell, count(g.cell) AS n FROM range(12) t(i) LEFT JOIN g ON g.cell = i GROUP BY 1")
 def cell_counts(spark, d):
     """Every cell, also the empty."""
@@ -333,7 +434,13 @@ def sampled_pairs(spark, d):
     return training.sampled(training.set_pairs(_members(spark, d)), 40, 7)
 
 
-@query(f"WITH {PAIR_SQL}, a AS (SELECT x.s_suppkey AS query_id, y.s_suppkey AS target_id FROM supplier x JOIN supplier y ON x.s_suppkey <> y.s_suppkey), u AS (SELECT * FROM a ANTI JOIN p USING (query_id, target_id)) SELECT query_id, target_id FROM u ORDER BY md5('5:' || query_id || ':' || target_id), 1, 2 LIMIT 60")
+def _drawn_sql(ids: str, n: int, seed: int, together: str) -> str:
+    """The first n different pairs of a long row of draws that aren't of one set."""
+    draw = lambda side: f"('0x' || substr(md5('{seed}:' || i || ':{side}'), 1, 15))::UBIGINT % (SELECT count(*) FROM ({ids}))"
+    return f"SELECT query_id, target_id FROM (SELECT x.id AS query_id, y.id AS target_id, min(i) AS i FROM (SELECT i, {draw('q')} AS a, {draw('t')} AS b FROM range({n} * 40) r(i)) JOIN (SELECT id, row_number() OVER (ORDER BY id % 64, id) - 1 AS place FROM ({ids})) x ON x.place = a JOIN (SELECT id, row_number() OVER (ORDER BY id % 64, id) - 1 AS place FROM ({ids})) y ON y.place = b WHERE x.id <> y.id AND NOT ({together}) GROUP BY 1, 2) ORDER BY i LIMIT {n}"
+
+
+@query(f"WITH {PAIR_SQL} {_drawn_sql('SELECT s_suppkey AS id FROM supplier', 60, 5, 'EXISTS (SELECT 1 FROM p WHERE p.query_id = x.id AND p.target_id = y.id)')}")
 def nonmatching_pairs(spark, d):
     """T5: never pairs of a matching set."""
     clouds = _table(spark, d, "supplier").select(F.col("s_suppkey").alias("cloud_id"))
@@ -353,11 +460,16 @@ def trained_table(spark, d):
     return t.to_df(spark).select("dist_bin", "dot_bin", _r(F.col("score")).alias("score"))
 
 
-@query(None)
+@query(f"""WITH {M_SQL}, g AS (SELECT * FROM m WHERE (query_id < 5) = (target_id < 5)), q AS (SELECT quantile_cont(dist, list_transform(range(0, 7), lambda i: i / 7.0)) AS a, quantile_cont(dot, list_transform(range(0, 5), lambda i: i / 5.0)) AS b FROM g),
+u AS (SELECT * FROM m SEMI JOIN ({_drawn_sql("SELECT DISTINCT cloud_id AS id FROM c", 40, 0, "(x.id < 5) = (y.id < 5)")}) USING (query_id, target_id)),
+b AS (SELECT good, greatest(0, least(5, len(list_filter(a, lambda x: x <= dist)) - 1)) * 4 + greatest(0, least(3, len(list_filter(b, lambda x: x <= dot)) - 1)) AS cell FROM (SELECT true AS good, dist, dot FROM g UNION ALL SELECT false, dist, dot FROM u), q),
+n AS (SELECT i::INTEGER AS cell, count(*) FILTER (good) AS m, count(*) FILTER (NOT good) AS u FROM range(24) t(i) LEFT JOIN b ON b.cell = i GROUP BY 1)
+SELECT (cell // 4)::INTEGER AS dist_bin, round(a[cell // 4 + 1], 6) AS dist_lo, round(a[cell // 4 + 2], 6) AS dist_hi, (cell % 4)::INTEGER AS dot_bin, round(b[cell % 4 + 1], 6) AS dot_lo, round(b[cell % 4 + 2], 6) AS dot_hi, round(log2((m / sum(m) OVER () + 1e-6) / (u / sum(u) OVER () + 1e-6)), 6) + 0.0 AS score FROM n, q""")
 def trained_quantile_table(spark, d):
-    """Quantile bins of the matching matches."""
+    """Quantile bins of the matching matches; as many drawn non-matching pairs."""
     sets = spark.createDataFrame(TRAIN_SETS, "set_id int, cloud_id long")
-    return training.train(small_clouds(spark, d), sets, 6, 4).to_df(spark)
+    t = training.train(small_clouds(spark, d), sets, 6, 4).to_df(spark)
+    return t.select("dist_bin", "dot_bin", *[F.round(c, 6).alias(c) for c in ("dist_lo", "dist_hi", "dot_lo", "dot_hi")], _r(F.col("score")).alias("score"))
 
 
 @query(f"SELECT i // 5 AS dist_bin, i % 5 AS dot_bin, ({_L(DIST)})[i // 5 + 1] AS dist_lo, ({_L(DIST)})[i // 5 + 2] AS dist_hi, ({_L(DOT)})[i % 5 + 1] AS dot_lo, ({_L(DOT)})[i % 5 + 2] AS dot_hi, ({_L(CELLS)})[i + 1] AS score FROM (SELECT i::INTEGER AS i FROM range(30) t(i))")
@@ -406,39 +518,75 @@ def cable_length(spark, d):
     return arbor.cable_length(tree(spark, d)).withColumn("cable_length", F.round("cable_length", 4))
 
 
-@query("SELECT 0::BIGINT AS skeleton_id, 0::BIGINT AS root_id")
+@query(f"WITH {T_SQL} SELECT 0::BIGINT AS skeleton_id, node_id AS root_id FROM t WHERE parent_id IS NULL")
 def tree_root(spark, d):
     """R12."""
     return arbor.roots(tree(spark, d))
 
 
-@query("SELECT p_partkey AS node_id, CASE WHEN p_partkey > 0 THEN (p_partkey - 1) // 2 END AS parent_id FROM part")
+#: Nodes with depth, cable and the ids on the way from the root, whose order is pre-order.
+P_SQL = f"WITH RECURSIVE {T_SQL}, p AS (SELECT node_id, parent_id, x, y, z, 0 AS depth, [node_id] AS path FROM t WHERE parent_id IS NULL UNION ALL SELECT t.node_id, t.parent_id, t.x, t.y, t.z, p.depth + 1, list_append(p.path, t.node_id) FROM t JOIN p ON t.parent_id = p.node_id), o AS (SELECT *, row_number() OVER (ORDER BY path) - 1 AS place FROM p)"
+
+
+@query(f"{P_SQL} SELECT node_id, parent_id, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, place FROM o")
 def skeleton_rows(spark, d):
-    """R1, R11."""
-    return _nodes(arbor.validated(tree(spark, d)))
+    """A tree's rows, in pre-order."""
+    return arbor.ordered(tree(spark, d)).select("node_id", "parent_id", *[F.round(c, 6).alias(c) for c in "xyz"], "place")
+
 
+def _climb(start: str, length: str = "0.0") -> str:
+    """From nodes up their unbranched runs: every step, and the last of each."""
+    step = "sqrt((c.x - q.x) * (c.x - q.x) + (c.y - q.y) * (c.y - q.y) + (c.z - q.z) * (c.z - q.z))"
+    return (
+        f"u AS (SELECT c.node_id AS origin, c.node_id, c.parent_id, coalesce({step}, 0.0) AS length FROM t c LEFT JOIN t q ON q.node_id = c.parent_id WHERE {start}"
+        f" UNION ALL SELECT u.origin, c.node_id, c.parent_id, u.length + {step} FROM u JOIN t c ON c.node_id = u.parent_id JOIN k ON k.node_id = c.node_id AND k.n = 1 JOIN t q ON q.node_id = c.parent_id),"
+        " top AS (SELECT * FROM u WHERE NOT EXISTS (SELECT 1 FROM u v WHERE v.origin = u.origin AND v.node_id = u.parent_id))"
+    )
+
+
+def _without(gone: str) -> str:
+    return f"w AS (SELECT node_id, parent_id FROM t WHERE parent_id IS NULL AND node_id NOT IN ({gone}) UNION ALL SELECT t.node_id, t.parent_id FROM t JOIN w ON t.parent_id = w.node_id WHERE t.node_id NOT IN ({gone})) SELECT node_id, parent_id FROM w"
 
-@query(None)
+
+@query(f"WITH RECURSIVE {T_SQL}, {_climb('c.node_id IN (5, 20)')}, {_without('SELECT node_id FROM top')}")
 def prune_branches_containing(spark, d):
+    """R3."""
     return _nodes(arbor.prune_branches_containing(tree(spark, d), [5, 20]))
 
 
-@query(None)
+def _strahler_sql(deepest: int = 26) -> str:
+    """Orders level by level, from below; a tree by key is no deeper than its keys have bits."""
+    levels = [f"s{deepest} AS (SELECT node_id, parent_id, 1 AS s FROM p WHERE depth >= {deepest})"]
+    for i in range(deepest - 1, -1, -1):
+        below = f"(SELECT parent_id, m, count(*) FILTER (s = m) AS same FROM (SELECT parent_id, s, max(s) OVER (PARTITION BY parent_id) AS m FROM s{i + 1}) GROUP BY ALL)"
+        levels.append(f"s{i} AS (SELECT n.node_id, n.parent_id, CASE WHEN b.m IS NULL THEN 1 WHEN b.same > 1 THEN b.m + 1 ELSE b.m END AS s FROM (SELECT * FROM p WHERE depth = {i}) n LEFT JOIN {below} b ON b.parent_id = n.node_id)")
+    return f"{P_SQL}, {', '.join(levels)}, st AS ({' UNION ALL '.join(f'SELECT * FROM s{i}' for i in range(deepest + 1))})"
+
+
+@query(f"{_strahler_sql()}, {_without('SELECT node_id FROM st WHERE s < 3')}")
 def prune_below_strahler(spark, d):
+    """R4."""
     return _nodes(arbor.prune_below_strahler(tree(spark, d), 3))
 
 
-@query(None)
+@query(f"WITH RECURSIVE {T_SQL}, {_climb('c.parent_id IS NOT NULL AND c.node_id NOT IN (SELECT node_id FROM k)')}, {_without('SELECT node_id FROM top WHERE length < 12.0')}")
 def prune_twigs(spark, d):
+    """R7."""
     return _nodes(arbor.prune_twigs(tree(spark, d), 12.0))
 
 
-@query(None)
+@query(f"{_strahler_sql()} SELECT 0::BIGINT AS skeleton_id, node_id, s::INTEGER AS strahler FROM st")
 def strahler(spark, d):
+    """The orders that R4 goes by."""
     return arbor.strahler(tree(spark, d))
 
 
-@query(None)
+@query(f"""{P_SQL}, b AS (SELECT q.place AS first, c.place AS second, c.node_id, c.x AS x1, c.y AS y1, c.z AS z1, q.x AS x0, q.y AS y0, q.z AS z0, 0.0::DOUBLE AS done FROM o c JOIN o q ON q.node_id = c.parent_id JOIN k ON k.node_id = q.node_id WHERE q.parent_id IS NULL OR k.n > 1
+  UNION ALL SELECT b.first, b.second, c.node_id, c.x, c.y, c.z, b.x1, b.y1, b.z1, b.done + sqrt((b.x0 - b.x1) * (b.x0 - b.x1) + (b.y0 - b.y1) * (b.y0 - b.y1) + (b.z0 - b.z1) * (b.z0 - b.z1)) FROM b JOIN k ON k.node_id = b.node_id AND k.n = 1 JOIN t c ON c.parent_id = b.node_id),
+e AS (SELECT *, sqrt((x0 - x1) * (x0 - x1) + (y0 - y1) * (y0 - y1) + (z0 - z1) * (z0 - z1)) AS size FROM b),
+m AS (SELECT *, unnest(range((floor(done / 5) + 1)::BIGINT, (floor((done + size) / 5) + 1)::BIGINT)) AS i FROM e WHERE size > 0),
+r AS (SELECT -1 AS first, -1 AS second, 0 AS i, x, y, z FROM t WHERE parent_id IS NULL UNION ALL SELECT first, second, i, x0 + (x1 - x0) * (i * 5.0 - done) / size, y0 + (y1 - y0) * (i * 5.0 - done) / size, z0 + (z1 - z0) * (i * 5.0 - done) / size FROM m)
+SELECT 0::BIGINT AS skeleton_id, (row_number() OVER (ORDER BY first, second, i) - 1)::INTEGER AS point_idx, round(x, 5) + 0.0 AS x, round(y, 5) + 0.0 AS y, round(z, 5) + 0.0 AS z FROM r""")
 def resampled_points(spark, d):
     """R10."""
-    return arbor.points(tree(spark, d), 5.0)
+    return arbor.points(tree(spark, d), 5.0).select("skeleton_id", "point_idx", *[_r(F.col(c), 5).alias(c) for c in "xyz"])

@@ -54,16 +54,18 @@ def read_score_table(spark: SparkSession, path: str, sep: str = ",") -> ScoreTab
 
 
 def read_dotprops_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Dotprops of files with columns id, X, Y, Z, i, j, k, alpha; points are numbered by their coordinates."""
+    """Dotprops of files with columns id, X, Y, Z, i, j, k, alpha; a cloud's points are numbered in the order of its file's rows."""
     raw = spark.read.csv(path, header=True, schema="id long, x double, y double, z double, tx double, ty double, tz double, alpha double")
-    order = W.partitionBy("id").orderBy("x", "y", "z", "tx", "ty", "tz")
-    return raw.select(F.col("id").alias("cloud_id"), (F.row_number().over(order) - 1).alias("point_idx"), "x", "y", "z", "tx", "ty", "tz", "alpha")
+    # splits of a file are numbered by where they start, rows within a split by their place
+    order = W.partitionBy("id").orderBy("file", "start", "row")
+    rows = raw.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+    return rows.select(F.col("id").alias("cloud_id"), (F.row_number().over(order) - 1).alias("point_idx"), "x", "y", "z", "tx", "ty", "tz", "alpha")
 
 
 def read_skeleton_json(spark: SparkSession, path: str, skeleton_id: int = 0) -> DataFrame:
-    """A skeleton of an object whose ``data`` has rows [node, parent or null, x, y, z]."""
-    raw = spark.read.schema("data array<array<double>>").json(path, multiLine=True).select(F.explode("data").alias("r"))
-    return raw.select(F.lit(skeleton_id).cast("long").alias("skeleton_id"), F.col("r")[0].cast("long").alias("node_id"), F.col("r")[1].cast("long").alias("parent_id"), *[F.col("r")[i + 2].alias(c) for i, c in enumerate("xyz")])
+    """A skeleton of an object whose ``data`` has rows [node, parent or null, x, y, z]; ids are read as whole numbers."""
+    raw = spark.read.schema("data array<array<string>>").json(path, multiLine=True).select(F.explode("data").alias("r"))
+    return raw.select(F.lit(skeleton_id).cast("long").alias("skeleton_id"), F.col("r")[0].cast("long").alias("node_id"), F.col("r")[1].cast("long").alias("parent_id"), *[F.col("r")[i + 2].cast("double").alias(c) for i, c in enumerate("xyz")])
 
 
 def from_arrays(spark: SparkSession, clouds: dict[int, Sequence[Sequence[float]]]) -> DataFrame:
@@ -84,6 +86,13 @@ def from_flat(spark: SparkSession, cloud_id: int, flat: Sequence[float]) -> Data
     return from_arrays(spark, {cloud_id: [flat[i : i + 3] for i in range(0, len(flat), 3)]})
 
 
+def to_flat(dotprops: DataFrame) -> DataFrame:
+    """cloud_id, points and tangents (3 N numbers each) and alphas (N), in order."""
+    rows = F.sort_array(F.collect_list(F.struct("point_idx", "x", "y", "z", "tx", "ty", "tz", "alpha")))
+    flat = lambda *names: F.flatten(F.transform("r", lambda p: F.array(*[p[n] for n in names])))
+    return dotprops.groupBy("cloud_id").agg(rows.alias("r")).select("cloud_id", flat("x", "y", "z").alias("points"), flat("tx", "ty", "tz").alias("tangents"), F.col("r.alpha").alias("alphas"))
+
+
 def checked_points(points: DataFrame) -> DataFrame:
     """Points whose coordinates are all numbers; a null, NaN or infinite one is an error."""
     bad = F.lit(False)
