@@ -1,13 +1,14 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from morphosim.functions.bins import Bins, Grid, ScoreTable, UpperTable
-from morphosim.functions.vectors import SYMMETRIES, combine, rectified
-from morphosim.operators import arbor
-from morphosim.operators.neighbours import _meet, blocks, dotprops, nearest, point_matches, raw_scores, tangents
+from morphosim.functions.bins import Bins, Grid, ScoreTable, UpperTable, exact_quantiles
+from morphosim.functions.vectors import SYMMETRIES, augmented, combine, rectified
+from morphosim.operators import arbor, training
+from morphosim.operators.neighbours import dotprops, nearest, neighbourhoods, point_matches, raw_scores, tangents
 from morphosim.operators.scoring import product, scores
 from morphosim.plans.arena import Arena
 from morphosim.sources import io
@@ -107,17 +108,146 @@ def test_split_clouds_score_the_same(spark, clouds, monkeypatch):
     import morphosim.operators.neighbours as n
 
     pairs = product(clouds, clouds).where("query_id <> target_id")
-    whole = sorted(map(tuple, raw_scores(clouds, pairs, TABLE).collect()))
-    matches = sorted(map(tuple, point_matches(clouds, pairs).collect()))
-    monkeypatch.setattr(n, "blocks", lambda c: blocks(c, 7))
-    split = sorted(map(tuple, raw_scores(clouds, pairs, TABLE).collect()))
-    assert [w[:2] for w in whole] == [s[:2] for s in split]
-    assert np.allclose([w[2] for w in whole], [s[2] for s in split])
-    assert matches == sorted(map(tuple, point_matches(clouds, pairs).collect()))
     points = clouds.select("cloud_id", "point_idx", "x", "y", "z")
-    a, b = [sorted(map(tuple, d.select("cloud_id", "point_idx", F.round("alpha", 9)).collect())) for d in (clouds, dotprops(points, 5))]
-    assert a == b
-    assert _meet
+    near = lambda: sorted(tuple(r) for r in neighbourhoods(points, 4).select("cloud_id", "point_idx", "rank", "nbr_idx", "dist").collect())
+    shapes = lambda: sorted(map(tuple, dotprops(points, 5).select("cloud_id", "point_idx", F.round("alpha", 9)).collect()))
+    score = lambda: sorted(map(tuple, raw_scores(clouds, pairs, TABLE).collect()))
+    match = lambda: sorted(map(tuple, point_matches(clouds, pairs).collect()))
+    whole = score(), match(), near(), shapes()
+    monkeypatch.setattr(n, "BLOCK", 7)
+    split = score(), match(), near(), shapes()
+    assert [w[:2] for w in whole[0]] == [s[:2] for s in split[0]]
+    assert np.allclose([w[2] for w in whole[0]], [s[2] for s in split[0]])
+    assert whole[1:] == split[1:]
+    with pytest.raises(Exception, match="fewer points"):
+        dotprops(io.from_arrays(spark, {0: np.eye(3), 1: np.random.default_rng(0).random((20, 3))}), 5).collect()
+
+
+def exact(q, t, k):
+    d2 = ((q[:, None] - t[None]) ** 2).transpose(2, 0, 1)
+    d2 = d2[0] + d2[1] + d2[2]
+    at = np.argsort(d2, axis=1, kind="stable")[:, :k]
+    return at, np.take_along_axis(d2, at, 1)
+
+
+RNG = np.random.default_rng(7)
+
+
+@pytest.mark.parametrize("t", [
+    RNG.random((1500, 3)), RNG.integers(0, 7, (1500, 3)).astype(float), np.c_[RNG.random((900, 2)), np.zeros(900)], np.c_[np.zeros((900, 2)), RNG.random(900)], np.zeros((600, 3)),
+    np.r_[RNG.normal(0, 0.01, (900, 3)), RNG.random((50, 3)) * 100], np.c_[RNG.integers(1, 50, 1200), RNG.random(1200) * 50, RNG.integers(0, 11, 1200) * 5.0], RNG.random((3, 3)),
+], ids=["even", "lattice", "flat", "line", "point", "dense", "mixed", "few"])
+def test_cells_find_what_comparing_all_finds(t):
+    q = np.r_[t[:200], RNG.random((100, 3)) * 3 - 1, RNG.normal(0, 500, (20, 3))]
+    for k in (1, 3, 20):
+        got, want = nearest(q, t, k), exact(q, t, k)
+        assert (got[0] == want[0]).all()
+        assert (got[1] == want[1]).all()
+
+
+def test_a_cloud_of_many_points(spark):
+    p = np.random.default_rng(3).normal(size=(200_000, 3))
+    rows = spark.createDataFrame(pa.table({"cloud_id": np.zeros(len(p), np.int64), "point_idx": np.arange(len(p), dtype=np.int32), "x": p[:, 0], "y": p[:, 1], "z": p[:, 2]}))
+    got = neighbourhoods(rows, 3).where("point_idx % 1000 = 7").orderBy("point_idx", "rank").toArrow()
+    some = np.arange(7, len(p), 1000)
+    want = exact(p[some], p, 3)
+    assert got.column("nbr_idx").to_numpy().reshape(-1, 3).tolist() == want[0].tolist()
+    assert np.allclose(got.column("dist").to_numpy().reshape(-1, 3), np.sqrt(want[1]))
+
+
+def test_end_to_end_against_plain_numpy(spark):
+    """Points in, normalised geometric means of all pairs out."""
+    rng = np.random.default_rng(21)
+    points = {i: np.cumsum(rng.normal(size=(int(rng.integers(30, 60)), 3)), 0) + rng.normal(0, 3, 3) for i in range(6)}
+    k, table = 5, ScoreTable([0, 1, 3, 8, 30], [0, 0.3, 0.7, 1], [9, 10, 11, 5, 6, 7, 1, 2, 2.5, -9, -8, -7])
+    shapes = {}
+    for i, p in points.items():
+        near = p[exact(p, p, k)[0]]
+        c = near - near.mean(1, keepdims=True)
+        shapes[i] = np.linalg.svd(c)[2][:, 0]
+    bin_of = lambda edges, v: np.clip(np.searchsorted(edges, v, "right") - 1, 0, len(edges) - 2)
+    cells = np.array(table.cells).reshape(4, 3)
+    raw = np.zeros((6, 6))
+    for a in range(6):
+        for b in range(6):
+            at, d2 = exact(points[a], points[b], 1)
+            dot = np.abs((shapes[a] * shapes[b][at[:, 0]]).sum(1))
+            raw[a, b] = cells[bin_of(table.dist.bounds, np.sqrt(d2[:, 0])), bin_of(table.dot.bounds, dot)].sum() if a != b else len(at) * cells[0, 2]
+    norm = raw / np.diag(raw)[:, None]
+    want = np.sqrt(np.maximum(norm, 0) * np.maximum(norm.T, 0))
+    arena = Arena(spark, table, k=k).add_points(io.from_arrays(spark, points))
+    got = {(r[0], r[1]): r[2] for r in arena.all_v_all(normalize=True, symmetry="geometric_mean").collect()}
+    assert len(got) == 36
+    assert all(got[a, b] == pytest.approx(want[a, b], abs=1e-10) for a in range(6) for b in range(6))
+
+
+def test_points_without_a_shape(spark):
+    """Neighbours that coincide give an alpha of NaN, which counts as none."""
+    p = np.r_[np.zeros((6, 3)), np.random.default_rng(2).random((6, 3)) + 5]
+    arena = Arena(spark, TABLE, use_alpha=True, k=5).add_points(io.from_arrays(spark, {0: p, 1: p + 0.1}))
+    alphas = np.array([r.alpha for r in arena.cloud(0).collect()])
+    assert np.isnan(alphas[:6]).all()
+    assert not np.isnan(alphas[6:]).any()
+    low = TABLE.cells[0]
+    assert arena.self_hit(0) == pytest.approx(6 * low + sum(TABLE.cells[1] if a >= 0.5 else low for a in alphas[6:]))
+    raw = {(r[0], r[1]): r[2] for r in arena.all_v_all().collect()}
+    assert raw[0, 1] == pytest.approx(6 * low + sum(TABLE.cells[1] if a >= 0.5 else low for a in alphas[6:]))
+    assert index(spark, Bins([1, 2, 3]), [float("nan"), 2.5]) == [None, 1]
+    one = spark.createDataFrame([(float("nan"), 1.0)], "a double, b double").select(combine("geometric_mean", F.col("a"), F.col("b"))).first()
+    assert one[0] == 0
+
+
+def test_exact_quantiles_without_one_task_for_all(spark):
+    rng = np.random.default_rng(4)
+    values = {"even": rng.random(20_000), "few": rng.integers(0, 5, 20_000).astype(float), "skewed": np.where(rng.random(20_000) < 0.7, 3.0, rng.random(20_000) * 9)}
+    df = spark.createDataFrame(pa.table(values)).repartition(4)
+    at = [0, 0.013, 2 / 3, 1]
+    for most in (10**6, 500):
+        got = exact_quantiles(df, dict.fromkeys(values, at), most)
+        for c, v in values.items():
+            assert got[c] == pytest.approx(np.quantile(v, at).tolist(), abs=1e-9)
+    assert exact_quantiles(df.limit(0), {"even": at}) == {"even": None}
+
+
+def test_drawn_pairs(spark):
+    clouds = spark.range(8).withColumnRenamed("id", "cloud_id")
+    sets = spark.createDataFrame([(i // 4, i) for i in range(8)], "set_id long, cloud_id long")
+    match, other = training.jobs(clouds, sets, None, 5, 20, 3)
+    got = [tuple(r) for r in other.collect()]
+    assert len(set(got)) == 20
+    assert all(q // 4 != t // 4 for q, t in got)
+    assert match.count() == 5
+    assert training.jobs(clouds, sets, None, 5, 500, 3)[1].count() == 8 * 4  # all there are
+
+
+def test_files(spark, tmp_path):
+    (tmp_path / "points").mkdir()
+    for name in ("b c", "a"):
+        (tmp_path / "points" / f"{name}.csv").write_text('"","X","Y","Z"\n"1",1.5,2,3\n"2",4,5,6\n')
+    got = io.numbered(io.read_points_csv(spark, str(tmp_path / "points"))).orderBy("cloud_id", "point_idx").collect()
+    assert [(r.name, r.cloud_id, r.point_idx, r.x) for r in got] == [("a", 0, 0, 1.5), ("a", 0, 1, 4.0), ("b c", 1, 0, 1.5), ("b c", 1, 1, 4.0)]
+    (tmp_path / "dots.csv").write_text("id,X,Y,Z,i,j,k,alpha\n3,9,0,0,1,0,0,0.5\n3,1,0,0,0,1,0,0.25\n4,0,0,0,0,0,1,1\n")
+    got = io.read_dotprops_csv(spark, str(tmp_path / "dots.csv")).orderBy("cloud_id", "point_idx").collect()
+    assert [(r.cloud_id, r.point_idx, r.x, r.ty, r.alpha) for r in got] == [(3, 0, 9, 0, 0.5), (3, 1, 1, 1, 0.25), (4, 0, 0, 0, 1)]
+    (tmp_path / "tree.json").write_text('{"data": [[9007199254740993, null, 0.5, 1, 2], [2, 9007199254740993, 3, 4, 5]], "other": 1}')
+    got = io.read_skeleton_json(spark, str(tmp_path / "tree.json"), 7).orderBy("x").collect()
+    assert [(r.skeleton_id, r.node_id, r.parent_id, r.x, r.z) for r in got] == [(7, 2**53 + 1, None, 0.5, 2.0), (7, 2, 2**53 + 1, 3.0, 5.0)]
+
+
+def test_arrays_and_checks(spark, clouds):
+    assert [tuple(r) for r in io.from_flat(spark, 3, range(6)).orderBy("point_idx").collect()] == [(3, 0, 0, 1, 2), (3, 1, 3, 4, 5)]
+    with pytest.raises(ValueError, match="three"):
+        io.from_flat(spark, 3, range(5))
+    with pytest.raises(Exception, match="no number"):
+        Arena(spark, TABLE, k=2).add_points(io.from_arrays(spark, {0: [(0, 0, math.inf), (1, 1, 1)]})).clouds.collect()
+    with pytest.raises(Exception, match="no length"):
+        io.checked_tangents(clouds.withColumn("tx", F.lit(0.0)).withColumn("ty", F.lit(0.0)).withColumn("tz", F.lit(0.0))).collect()
+    moved = augmented(clouds, 10.0, 0.1)
+    shift = moved.join(clouds.select("cloud_id", "point_idx", F.col("x").alias("was")), ["cloud_id", "point_idx"]).select("cloud_id", (F.col("x") - F.col("was")).alias("d")).groupBy("cloud_id").agg(F.avg("d").alias("m"), F.stddev("d").alias("s")).collect()
+    assert all(r.s < 0.5 for r in shift)
+    assert np.std([r.m for r in shift]) > 1
+    got = {(r[0], r[1]): r[2] for r in Arena(spark, TABLE, k=5).add_dotprops(clouds).query_pairs(product(clouds, clouds), max_centroid_dist=1e9, compat_centroids=True).collect()}
+    assert not any(math.isnan(v) for v in got.values())
 
 
 def test_too_few_points(spark):
