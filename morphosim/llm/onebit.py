@@ -4,8 +4,8 @@ Vectors are centred, scaled to length 1, rotated by a random orthogonal matrix a
 kept as the signs of their coordinates, packed into bytes, with two scalars: the
 length and the inner product of the code with the vector. From them and a query
 comes an unbiased estimate of the inner product and a bound on its error that holds
-with high probability. A block's vectors whose upper bound reaches the k-th largest
-lower bound are measured exactly; the others cannot be among the nearest.
+with high probability. The most promising of a block are measured exactly, and then all
+whose upper bound reaches the k-th best of these; the others cannot be among the nearest.
 
 Equal vectors are one entry of the index, with the k + 1 smallest ids of those that
 share it: more can't be told apart by score and never come first. Queries and
@@ -13,7 +13,8 @@ entries meet block by block, so a task's memory is a block of each.
 
 Defined cases: vectors that are null, empty, all zero, of another length than most
 (ties: the shorter), or that hold null or non-finite components take no part, nor do
-rows without id; rows that repeat id and vector count once; fewer than k candidates
+rows without id; rows that repeat id and vector count once; an id with several vectors
+asks with the first of them, by components, and is found by each; fewer than k candidates
 give them all; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -38,7 +39,7 @@ class Coder:
 
     def __init__(self, centre: np.ndarray, epsilon: float = 4.0, seed: int = 29):
         self.centre, self.epsilon, self.turn = centre, epsilon, rotation(len(centre), seed)
-        self.dim, self.bytes = len(centre), -(-len(centre) // 8)
+        self.dim = len(centre)
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Packed signs, lengths, and the inner product of each unit vector with its code."""
@@ -47,23 +48,16 @@ class Coder:
         own = np.abs(y).sum(1) / np.sqrt(self.dim) / np.where(length > 0, length, 1)
         return np.packbits(y > 0, axis=1), length, np.where(length > 0, own, 1.0)
 
-    def tables(self, q: np.ndarray) -> np.ndarray:
-        """queries x bytes x 256: the sum of a query's rotated coordinates under each byte's signs."""
-        y = np.zeros((len(q), self.bytes * 8), np.float32)
-        y[:, : self.dim] = q @ self.turn.T / np.sqrt(self.dim)
-        signs = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float32) * 2 - 1
-        return y.reshape(len(q), self.bytes, 8) @ signs.T
+    def signs(self, codes: np.ndarray) -> np.ndarray:
+        """Packed signs as -1 and 1, vectors x coordinates."""
+        return np.unpackbits(codes, axis=1)[:, : self.dim].astype(np.float32) * 2 - 1
 
-    def estimate(self, q: np.ndarray, codes: np.ndarray, length: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def estimate(self, q: np.ndarray, signs: np.ndarray, length: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Estimated inner products (queries x vectors) and their bounds."""
-        t = self.tables(q)
-        total = t[:, 0][:, codes[:, 0]]
-        for j in range(1, self.bytes):
-            total += t[:, j][:, codes[:, j]]
-        scale = length / own
+        total = (q @ self.turn.T / np.sqrt(self.dim)).astype(np.float32) @ signs.T
         off = self.epsilon * np.sqrt(np.maximum(1 - own**2, 0)) / own / np.sqrt(max(self.dim - 1, 1)) * length
         size = np.linalg.norm(q, axis=1)
-        return total * scale + (q @ self.centre)[:, None], size[:, None] * (off + 1e-5 * (length + np.linalg.norm(self.centre)))[None, :]
+        return total * (length / own) + (q @ self.centre)[:, None], size[:, None] * (off + 1e-5 * (length + np.linalg.norm(self.centre)))[None, :]
 
 
 def valid(vectors: DataFrame) -> DataFrame:
@@ -97,7 +91,7 @@ def encoded(index: DataFrame, coder: Coder) -> DataFrame:
     return index.mapInArrow(run, "ids array<long>, v array<double>, code binary, length double, own double")
 
 
-def search(index: DataFrame, queries: DataFrame, coder: Coder, k: int, entry_block: int = 16384, query_block: int = 1024, step: int = 64) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, coder: Coder, k: int, entry_block: int = 16384, query_block: int = 8192, step: int = 128) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest of each of ``queries`` (vec_id, v)."""
     n, q = max(1, -(-index.count() // entry_block)), max(1, -(-queries.count() // query_block))
     left = index.withColumn("e", F.pmod(F.xxhash64("ids"), F.lit(n))).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(q - 1))))
@@ -105,32 +99,38 @@ def search(index: DataFrame, queries: DataFrame, coder: Coder, k: int, entry_blo
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        out: list[list[np.ndarray]] = [[], [], []]
-        if a.num_rows and b.num_rows:
-            flat = lambda t, c: t.column(c).combine_chunks().flatten().to_numpy()
-            x, y = flat(a, "v").reshape(a.num_rows, -1), flat(b, "v").reshape(b.num_rows, -1)
-            codes = np.frombuffer(b"".join(a.column("code").to_pylist()), np.uint8).reshape(a.num_rows, -1)
-            length, own = a.column("length").to_numpy(), a.column("own").to_numpy()
-            ids, sizes = flat(a, "ids"), np.array([len(i) for i in a.column("ids").to_pylist()])
-            first, names = np.concatenate([[0], np.cumsum(sizes)]), b.column("vec_id").to_numpy()
-            need = min(k + 1, a.num_rows)
-            for at in range(0, len(y), step):
-                mean, off = coder.estimate(y[at : at + step], codes, length, own)
-                floor = np.partition(mean - off, a.num_rows - need, axis=1)[:, a.num_rows - need]
-                for i, row in enumerate(mean + off >= floor[:, None]):
-                    near = np.flatnonzero(row)
-                    exact = x[near] @ y[at + i]
-                    best = np.argsort(-exact, kind="stable")[:need]
-                    best = np.flatnonzero(exact >= exact[best[-1]])  # ties with the last stay
-                    entry, score = near[best], exact[best]
-                    name, value = np.concatenate([ids[first[e] : first[e + 1]] for e in entry]), np.repeat(score, sizes[entry])
-                    own_row = name == names[at + i]
-                    name, value = name[~own_row], value[~own_row]
-                    top = np.lexsort((name, -value))[:k]
-                    out[0].append(np.full(len(top), names[at + i]))
-                    out[1].append(name[top])
-                    out[2].append(value[top])
-        return pa.table([pa.array(np.concatenate(c) if c else [], f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+        if not a.num_rows or not b.num_rows:
+            return schema.empty_table()
+        flat = lambda t, c: t.column(c).combine_chunks().flatten().to_numpy()
+        x, y = flat(a, "v").reshape(a.num_rows, -1), flat(b, "v").reshape(b.num_rows, -1)
+        signs = coder.signs(np.frombuffer(b"".join(a.column("code").to_pylist()), np.uint8).reshape(a.num_rows, -1))
+        length, own = a.column("length").to_numpy(), a.column("own").to_numpy()
+        ids, sizes = flat(a, "ids"), a.column("ids").combine_chunks().value_lengths().to_numpy()
+        first, names, out = np.concatenate([[0], np.cumsum(sizes)]), b.column("vec_id").to_numpy(), []
+        need = min(k + 1, a.num_rows)
+        few = min(4 * need, a.num_rows)
+        for at in range(0, len(y), step):
+            part = y[at : at + step]
+            mean, off = coder.estimate(part, signs, length, own)
+            # the need-th best of the most promising bounds what must be looked at
+            top = np.argpartition(-mean, few - 1, axis=1)[:, :few]
+            exact = np.einsum("qfd,qd->qf", x[top], part)
+            floor = np.partition(exact, few - need, axis=1)[:, few - need]
+            floor -= 1e-12 * np.abs(floor)
+            rows, entry = np.nonzero(mean + off >= floor[:, None])
+            score = np.concatenate([np.einsum("nd,nd->n", x[entry[i : i + 65536]], part[rows[i : i + 65536]]) for i in range(0, len(rows), 65536)])
+            near = score >= floor[rows]  # all of the nearest, and ties with the last
+            rows, entry, score = rows[near], entry[near], score[near]
+            n_ids = sizes[entry]
+            which = np.repeat(first[entry] - (np.cumsum(n_ids) - n_ids), n_ids) + np.arange(n_ids.sum())
+            rows, name, score = np.repeat(rows, n_ids), ids[which], np.repeat(score, n_ids)
+            other = name != names[at + rows]
+            rows, name, score = rows[other], name[other], score[other]
+            order = np.lexsort((name, -score, rows))
+            rows, name, score = rows[order], name[order], score[order]
+            best = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+            out.append(pa.table([names[at + rows[best]], name[best], score[best]], schema=schema))
+        return pa.concat_tables(out)
 
     met = left.groupBy("e", "q").cogroup(right.groupBy("e", F.col("q"))).applyInArrow(lambda a, b: run(a, b), "query_id long, vec_id long, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
@@ -145,7 +145,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     dim = index.select(F.max(F.size("v"))).first()[0] or 1
     centre = index.agg(*[F.avg(F.col("v")[i]) for i in range(dim)]).first()
     coder = Coder(np.array([c or 0.0 for c in centre]))
-    queries = cut(some.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]), "queries")
+    queries = cut(some.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
     return search(cut(encoded(index, coder), "codes"), queries, coder, k)
 
 
