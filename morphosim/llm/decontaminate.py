@@ -98,7 +98,7 @@ def occurrences(texts: DataFrame, windows: DataFrame, sizes: list[int]) -> DataF
     met = met.withColumn("start", start).where((F.col("start") >= 0) & (F.col("start") + F.col("size") <= F.col("n")))
     if not small:
         met = met.select("key", "start", "size", "window").distinct().join(cut_up.dropDuplicates(["key"]), "key")
-    place = F.slice("w", F.col("start") + 1, F.col("size"))
+    place = F.slice("w", F.greatest(F.col("start") + 1, F.lit(1)), F.col("size"))  # conditions may be asked in any order
     found = met.where(F.xxhash64(place) == F.col("window")).select("key", "start", "window", place.alias("words")).distinct()
     return found.join(windows.select("words", F.xxhash64("words").alias("window")), ["window", "words"], "left_semi").select("key", "start", "words")
 
