@@ -166,6 +166,7 @@ def _link(classes: DataFrame, docs: DataFrame, s: Scheme) -> DataFrame:
     members = classes.select("node", F.explode("bands").alias("key"))
     shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     members = cut(members.join(shared, "key", "left_semi"), "bands")
+    n_members = members.count()
     met = classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "text_hash", "sig", "bands")
     slim = cut(met, "met")
     texts = cut(_texts(slim, docs), "met-texts")
@@ -176,13 +177,13 @@ def _link(classes: DataFrame, docs: DataFrame, s: Scheme) -> DataFrame:
     def settle(pairs: DataFrame) -> None:
         nonlocal links, roots, members
         sig = lambda c: slim.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}"))
-        likely = cut(_likely(pairs.join(sig("a"), "a").join(sig("b"), "b"), s), "likely")
+        likely = cut(_likely(pairs.join(sig("a"), "a").join(sig("b"), "b"), s), "likely", n_members)  # a pair at most for each member and bucket
         found = cut(confirm(likely.join(likely.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "a"), texts, s), "links")
         links = found if links is None else links.unionByName(found)
         roots = components(links, "a", "b")
         placed = members.select("node", "key").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-        members = cut(placed.join(mixed, "key", "left_semi"), "mixed")
+        members = cut(placed.join(mixed, "key", "left_semi"), "mixed", n_members)
 
     for k in range(s.rounds):
         hub = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key", F.lit(k)).alias("o"), *members.drop("key").columns)).alias("h"))
