@@ -19,7 +19,7 @@ def prose(rng, n):
 
 def rows():
     rng = np.random.default_rng(14)
-    good = [prose(rng, 80) for _ in range(60)]
+    good = [prose(rng, 3000 if i % 6 == 5 else 80) for i in range(60)]
     junk = [" ".join("".join(rng.choice(list("XYZ!%&$#"), 6)) for _ in range(60)) for _ in range(40)]
     passage = " ".join(f"item{i}" for i in range(30))
     texts = [*good, *junk]
