@@ -461,7 +461,7 @@ def trained_table(spark, d):
 
 
 @query(f"""WITH {M_SQL}, g AS (SELECT * FROM m WHERE (query_id < 5) = (target_id < 5)), q AS (SELECT quantile_cont(dist, list_transform(range(0, 7), lambda i: i / 7.0)) AS a, quantile_cont(dot, list_transform(range(0, 5), lambda i: i / 5.0)) AS b FROM g),
-u AS (SELECT * FROM m SEMI JOIN ({_drawn_sql("SELECT DISTINCT cloud_id AS id FROM c", 40, 0, "(x.id < 5) = (y.id < 5)")}) USING (query_id, target_id)),
+o AS (SELECT DISTINCT query_id, target_id FROM m WHERE (query_id < 5) <> (target_id < 5)), u AS (SELECT * FROM m SEMI JOIN (SELECT * FROM o ORDER BY md5('0:' || query_id || ':' || target_id), 1, 2 LIMIT 40) USING (query_id, target_id)),
 b AS (SELECT good, greatest(0, least(5, len(list_filter(a, lambda x: x <= dist)) - 1)) * 4 + greatest(0, least(3, len(list_filter(b, lambda x: x <= dot)) - 1)) AS cell FROM (SELECT true AS good, dist, dot FROM g UNION ALL SELECT false, dist, dot FROM u), q),
 n AS (SELECT i::INTEGER AS cell, count(*) FILTER (good) AS m, count(*) FILTER (NOT good) AS u FROM range(24) t(i) LEFT JOIN b ON b.cell = i GROUP BY 1)
 SELECT (cell // 4)::INTEGER AS dist_bin, round(a[cell // 4 + 1], 6) AS dist_lo, round(a[cell // 4 + 2], 6) AS dist_hi, (cell % 4)::INTEGER AS dot_bin, round(b[cell % 4 + 1], 6) AS dot_lo, round(b[cell % 4 + 2], 6) AS dot_hi, round(log2((m / sum(m) OVER () + 1e-6) / (u / sum(u) OVER () + 1e-6)), 6) + 0.0 AS score FROM n, q""")
