@@ -11,7 +11,8 @@ each, a block is final and meets nothing else.
 
 Inside a task, the points of a large block lie in the cells of a grid. A query point
 looks at the cells around it, in rings, until no cell beyond can hold a nearer point;
-what is still open after some rings is compared with all. Both ways give the same.
+what is still open then, or crowded, looks into the leaves of near points whose bounds
+can hold a nearer one. All ways give the same.
 
 Ties go to the neighbour with the smallest ``point_idx``.
 """
@@ -26,9 +27,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut
+
 BLOCK, TILE = 32768, 65536
-#: Up to so many target points all are compared; cells of a grid aim at ``FILL`` points a neighbour wanted.
-FEW, FILL, RINGS = 256, 0.6, (1, 2, 4)
+#: Up to so many target points all are compared; cells of a grid aim at ``FILL`` points a neighbour wanted, and some of more than ``CROWD`` points are left to the leaves.
+FEW, FILL, RINGS, CROWD, LEAF = 256, 0.6, (1, 2), 300, 64
 FIELDS = ("x", "y", "z", "tx", "ty", "tz", "alpha")
 
 
@@ -50,7 +53,7 @@ def _compact(clouds: DataFrame, size: int, bits: int = 6) -> DataFrame:
     bounds = clouds.groupBy("cloud_id").agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{n}_{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))])
     share = lambda c: F.when(F.col(f"hi_{c}") > F.col(f"lo_{c}"), (F.col(c) - F.col(f"lo_{c}")) / (F.col(f"hi_{c}") - F.col(f"lo_{c}"))).otherwise(0.0)
     code = F.when(F.col("n") > size, _cells(bits, [share(c) for c in "xyz"])).otherwise(0)
-    coded = clouds.join(bounds, "cloud_id").withColumn("code", code).select(*clouds.columns, "code")
+    coded = cut(clouds.join(bounds, "cloud_id").withColumn("code", code).select(*clouds.columns, "code"), "coded")
     cells = coded.groupBy("cloud_id", "code").agg(F.count(F.lit(1)).alias("cell_n"))
     before = cells.withColumn("before", F.sum("cell_n").over(W.partitionBy("cloud_id").orderBy("code")) - F.col("cell_n"))
     inside = F.pmod(F.xxhash64("point_idx"), F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.col("cell_n")
@@ -66,12 +69,13 @@ class Packed:
         counts = clouds.groupBy("cloud_id").agg(F.count(F.lit(1)).alias("n"))
         most, self.points, self.clouds = counts.agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
         self.several = most > size
-        cut = _compact(clouds, size) if self.several else clouds.withColumn("block", F.lit(0))
-        packed = cut.groupBy("cloud_id", "block").agg(F.sort_array(F.collect_list(F.struct("point_idx", *have))).alias("p"))
+        # what is packed and the bounds of blocks are both taken of the cut points, which are written once
+        blocked = cut(_compact(clouds.select("cloud_id", "point_idx", *have), size), "blocks") if self.several else clouds.withColumn("block", F.lit(0))
+        packed = blocked.groupBy("cloud_id", "block").agg(F.sort_array(F.collect_list(F.struct("point_idx", *have))).alias("p"))
         #: cloud_id, block, idx and an array for each of FIELDS (null where the clouds lack the column), sorted by point_idx
         self.rows = packed.select("cloud_id", "block", F.col("p.point_idx").alias("idx"), *[(F.col(f"p.{c}") if c in have else F.lit(None).cast("array<double>")).alias(c) for c in FIELDS])
         if self.several:
-            self.boxes = cut.groupBy("cloud_id", "block").agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{n}_{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))])
+            self.boxes = blocked.groupBy("cloud_id", "block").agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{n}_{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))])
 
     def met(self, pairs: DataFrame, k: int) -> DataFrame:
         """query_id, target_id, qb, tb, whole: the pairs of blocks that can hold one of the k nearest.
@@ -86,10 +90,9 @@ class Packed:
         each = pairs.join(side("query", "qb"), "query_id").join(side("target", "tb"), "target_id").select(
             "query_id", "target_id", "qb", "tb", sum(gap(c) * gap(c) for c in "xyz").alias("near"), F.when(col("tb_n") >= k, sum(reach(c) * reach(c) for c in "xyz")).alias("far"),
         )
-        least = each.groupBy("query_id", "target_id", "qb").agg(F.min("far").alias("least"))
-        some = each.join(least, ["query_id", "target_id", "qb"]).where(F.col("least").isNull() | (F.col("near") <= F.col("least") * (1 + 1e-9)))
-        one = some.groupBy("query_id", "target_id", "qb").agg((F.count(F.lit(1)) == 1).alias("whole"))
-        return some.join(one, ["query_id", "target_id", "qb"]).select("query_id", "target_id", "qb", "tb", "whole")
+        of_block = W.partitionBy("query_id", "target_id", "qb")
+        some = each.withColumn("least", F.min("far").over(of_block)).where(F.col("least").isNull() | (F.col("near") <= F.col("least") * (1 + 1e-9)))
+        return some.withColumn("whole", F.count(F.lit(1)).over(of_block) == 1).select("query_id", "target_id", "qb", "tb", "whole")
 
 
 def _first(d2: np.ndarray, name: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,7 +104,7 @@ def _first(d2: np.ndarray, name: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
         best = d2.min(1)
         return np.where(d2 == best[:, None], name, np.iinfo(np.int64).max).min(1)[:, None], best[:, None]
     rows, columns = np.nonzero(d2 <= np.partition(d2, k - 1, axis=1)[:, k - 1 : k])
-    found, names = d2[rows, columns], (name[rows, columns] if name.ndim == 2 and len(name) > 1 else name.ravel()[columns])
+    found, names = d2[rows, columns], (name[rows, columns] if len(name) == len(d2) else name.ravel()[columns])
     order = np.lexsort((names, found, rows))
     first = np.searchsorted(rows, np.arange(len(d2)))
     at = order[first[:, None] + np.arange(k)]
@@ -155,26 +158,66 @@ class CellGrid:
         size = np.where(ok, self.first[np.where(ok, base + high[:, 2:3] + 1, 0)] - start, 0)
         total = size.sum(1)
         edge = np.minimum(np.where(cell - ring > 0, q - (self.low + (cell - ring) * self.h), np.inf), np.where(cell + ring < self.n - 1, self.low + (cell + ring + 1) * self.h - q, np.inf)).min(1)
-        names, squares = np.zeros((len(q), k), np.int64), np.full((len(q), k), np.inf)
-        todo = np.flatnonzero((total >= k) & (total <= most))
-        todo = todo[np.argsort(total[todo], kind="stable")]
-        a = 0
-        while a < len(todo):
-            widest = np.searchsorted(total[todo[a:]] * np.arange(1, len(todo) - a + 1), 2_000_000)
-            mine = todo[a : a + max(1, widest)]
-            a += len(mine)
-            width, lens = int(total[mine[-1]]), size[mine].ravel()
-            row = np.repeat(np.repeat(np.arange(len(mine)), size.shape[1]), lens)
-            within = np.arange(len(row)) - np.repeat(np.cumsum(lens) - lens, lens)
-            place = np.arange(len(row)) - np.repeat(np.cumsum(total[mine]) - total[mine], total[mine])
-            at = np.zeros((len(mine), width), np.int64)
-            at[row, place] = self.order[np.repeat(start[mine].ravel(), lens) + within]
-            d2 = _squares(q[mine], self.t, at)
-            d2[np.arange(width)[None] >= total[mine][:, None]] = np.inf
-            names[mine], squares[mine] = _first(d2, at, k)
+        names, squares = _among(q, self.t, self.order, start, size, k, np.flatnonzero((total >= k) & (total <= most)))
         return names, squares, squares[:, -1] < (np.maximum(edge, 0) * (1 - 1e-9)) ** 2
 
 
+def _among(q: np.ndarray, t: np.ndarray, order: np.ndarray, start: np.ndarray, size: np.ndarray, k: int, todo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Names and squares of the k nearest of ``todo``'s queries among runs of ``order``: of each query (a row) where they start and how long they are."""
+    names, squares = np.zeros((len(q), k), np.int64), np.full((len(q), k), np.inf)
+    total = size.sum(1)
+    todo, a = todo[np.argsort(total[todo], kind="stable")], 0
+    while a < len(todo):
+        widest = np.searchsorted(total[todo[a:]] * np.arange(1, len(todo) - a + 1), 2_000_000)
+        mine = todo[a : a + max(1, widest)]
+        a += len(mine)
+        width, lens = int(total[mine[-1]]), size[mine].ravel()
+        row = np.repeat(np.repeat(np.arange(len(mine)), size.shape[1]), lens)
+        within = np.arange(len(row)) - np.repeat(np.cumsum(lens) - lens, lens)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(total[mine]) - total[mine], total[mine])
+        at = np.zeros((len(mine), width), np.int64)
+        at[row, place] = order[np.repeat(start[mine].ravel(), lens) + within]
+        d2 = _squares(q[mine], t, at)
+        d2[np.arange(width)[None] >= total[mine][:, None]] = np.inf
+        names[mine], squares[mine] = _first(d2, at, k)
+    return names, squares
+
+
+class Leaves:
+    """The points of a block in leaves of near ones, by the interleaved bits of their ranks along each axis, so that dense parts have small leaves."""
+
+    def __init__(self, t: np.ndarray, k: int):
+        n = len(t)
+        code = np.zeros(n, np.int64)
+        for axis in range(3):
+            rank = np.empty(n, np.int64)
+            rank[np.argsort(t[:, axis], kind="stable")] = np.arange(n)
+            for bit in range(10):
+                code |= ((rank * 1024 // n) >> bit & 1) << (3 * bit + axis)
+        self.order = np.argsort(code, kind="stable")
+        self.start = np.arange(0, n, max(LEAF, k))
+        self.size = np.diff(np.append(self.start, n))
+        self.sorted = t[self.order]
+        self.low, self.high = (f.reduceat(self.sorted, self.start) for f in (np.minimum, np.maximum))
+
+    def search(self, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k nearest: the nearest leaf gives a bound, and only leaves within it are looked into, each for all its queries at once."""
+        near = np.zeros((len(q), len(self.start)))
+        for axis in range(3):
+            x = q[:, axis, None]
+            near += np.maximum(np.maximum(self.low[:, axis] - x, x - self.high[:, axis]), 0) ** 2
+        first = near.argmin(1)
+        names, squares = np.full((len(q), k), np.iinfo(np.int64).max), np.full((len(q), k), np.inf)
+        for own in (True, False):
+            for leaf, (a, n) in enumerate(zip(self.start, self.size, strict=True)):
+                rows = np.flatnonzero(first == leaf if own else (first != leaf) & (near[:, leaf] <= squares[:, -1] * (1 + 1e-9)))
+                if len(rows):
+                    d2 = np.concatenate([squares[rows], _squares(q[rows], self.sorted[a : a + n])], 1)
+                    name = np.concatenate([names[rows], np.broadcast_to(self.order[a : a + n], (len(rows), n))], 1)
+                    names[rows], squares[rows] = _first(d2, name, k)
+        return names, squares
+
+
 def nearest(q: np.ndarray, t: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Places in ``t`` and squared distances of the k nearest of each of ``q``; equal ones in order of place."""
     k = min(k, len(t))
@@ -186,13 +229,16 @@ def nearest(q: np.ndarray, t: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarra
         left = []
         for a in range(0, len(open_), 8192):
             mine = open_[a : a + 8192]
-            names, squares, done = grid.search(q[mine], k, ring, len(t) // 2)
+            names, squares, done = grid.search(q[mine], k, ring, CROWD + 4 * k)
             where[mine[done]], far[mine[done]] = names[done], squares[done]
             left.append(mine[~done])
         open_ = np.concatenate(left)
         if not len(open_):
             return where, far
-    where[open_], far[open_] = _all(q[open_], t, k)
+    leaves = Leaves(t, k)
+    for a in range(0, len(open_), 8192):
+        mine = open_[a : a + 8192]
+        where[mine], far[mine] = leaves.search(q[mine], k)
     return where, far
 
 
