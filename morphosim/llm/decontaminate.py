@@ -9,8 +9,8 @@ would start; it must lie within the document (the positional and length bounds).
 words that stand there must have the window's hash, and are then compared with the
 window's own, word by word.
 
-Texts are read twice, for the rarity of the benchmark's shingles and for the
-candidates, and once more without cutting words for their number. Tables of fixed width
+Texts are read for the rarity of the benchmark's shingles, for the candidates, and once
+more for the number of words. Tables of fixed width
 are broadcast up to ``BROADCAST`` rows, some ten MB; beyond that they are joined by
 shuffle, and shingles are counted before they are dealt out. Equal texts are one from
 the candidates on.
@@ -33,7 +33,6 @@ WINDOW, SHINGLE = 13, 3
 #: Rows of a table of at most four numbers that may be broadcast: some ten MB.
 BROADCAST = 200_000
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RESULTS = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
@@ -135,7 +134,7 @@ def _judged(rows: DataFrame, found: DataFrame) -> DataFrame:
 
 def _rows(docs: DataFrame, kept: list[str]) -> DataFrame:
     """row (the columns ``kept`` as one), key, n_words."""
-    count = F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD)).cast("long")
+    count = F.size(F.array_remove(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), SEPARATORS), "")).cast("long")
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), text_key(F.col("text")).alias("key"), count.alias("n_words"))
 
 
