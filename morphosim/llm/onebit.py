@@ -37,7 +37,7 @@ def rotation(dim: int, seed: int = 29) -> np.ndarray:
 class Coder:
     """Codes and scalars of vectors, and estimates with bounds for queries."""
 
-    def __init__(self, centre: np.ndarray, epsilon: float = 4.0, seed: int = 29):
+    def __init__(self, centre: np.ndarray, epsilon: float = 3.0, seed: int = 29):
         self.centre, self.epsilon, self.turn = centre, epsilon, rotation(len(centre), seed)
         self.dim = len(centre)
 
