@@ -26,7 +26,7 @@ def components(links: DataFrame, a: str, b: str, name: str = "components", most:
     """node, root for every node of ``links``: root is the least node it can reach. Nodes are longs."""
     spark = links.sparkSession
     ordered = lambda df: df.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    edges = cut(ordered(links.select(F.col(a).alias("u"), F.col(b).alias("v"))), name)
+    edges = cut(ordered(links.select(F.col(a).alias("u"), F.col(b).alias("v"))), name, links.count())
     state, n = None, edges.count()  # a step makes no more edges than it had, and one for each node
     for _ in range(most):
         new = cut(ordered(_star(ordered(_star(edges, True)), False)), name, 2 * n)

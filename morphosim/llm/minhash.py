@@ -165,10 +165,11 @@ def _link(classes: DataFrame, docs: DataFrame, s: Scheme) -> DataFrame:
     """node, root for the linked nodes of ``classes`` (node, doc_id, text_hash, sig, bands)."""
     members = classes.select("node", F.explode("bands").alias("key"))
     shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    members = cut(members.join(shared, "key", "left_semi"), "bands")
+    n_classes = classes.count()
+    members = cut(members.join(shared, "key", "left_semi"), "bands", n_classes * (s.hashes // s.band_rows))
     n_members = members.count()
     met = classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "text_hash", "sig", "bands")
-    slim = cut(met, "met")
+    slim = cut(met, "met", n_classes)
     texts = cut(_texts(slim, docs), "met-texts")
     if texts.count() > slim.count():  # rows that repeat id and text
         texts = cut(texts.groupBy("node").agg(F.first("text").alias("text")), "met-texts")
@@ -256,7 +257,7 @@ def grouped(docs: DataFrame, s: Scheme) -> DataFrame:
     # a class goes by its least id, a null one behind all others; its rows share signature and bands
     least = F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "text_hash")).alias("m")
     classes = full.groupBy("f1", "f2").agg(least, F.first("sig").alias("sig"), F.first("bands").alias("bands"))
-    classes = cut(classes.select(F.col("f1").alias("node"), "f2", F.col("m.doc_id").alias("doc_id"), F.col("m.text_hash").alias("text_hash"), "sig", "bands"), "classes")
+    classes = cut(classes.select(F.col("f1").alias("node"), "f2", F.col("m.doc_id").alias("doc_id"), F.col("m.text_hash").alias("text_hash"), "sig", "bands"), "classes", rows.count())
     named = classes.select("node", "f2", "doc_id").join(_link(classes, docs, s), "node", "left").withColumn("root", F.coalesce("root", "node"))
     by_root = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     by_class = named.join(by_root, "root").select(F.col("node").alias("f1"), "f2", "root", "component_id")
