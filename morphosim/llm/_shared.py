@@ -37,14 +37,14 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def cut(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: an end of lineage that survives lost executors.
 
-    ``rows``: at most so many short rows, which go into files of some 100,000.
+    ``rows``: at most so many short rows, which go into files of some 100,000, or eight.
 
     The shuffle files of the write are deleted with its end, as nothing reads them again;
     the setting that does it is the session's own again afterwards.
     """
     spark, schema = df.sparkSession, df.schema
     if rows is not None:
-        df = df.coalesce(max(1, -(-rows // 100_000)))
+        df = df.coalesce(max(8, -(-rows // 100_000)))
     path, before = new_path(spark, name), spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
