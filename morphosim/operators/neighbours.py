@@ -77,19 +77,27 @@ class Packed:
         if self.several:
             self.boxes = blocked.groupBy("cloud_id", "block").agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{n}_{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))])
 
-    def met(self, pairs: DataFrame, k: int) -> DataFrame:
+    def met(self, pairs: DataFrame, k: int, cell: float | None = None) -> DataFrame:
         """query_id, target_id, qb, tb, whole: the pairs of blocks that can hold one of the k nearest.
 
         All points of a query's block have k neighbours within the largest distance to a
-        block of at least k points; blocks that are farther away hold none of them.
+        block of at least k points; blocks that are farther away hold none of them. With a
+        ``cell``, only neighbours in the cells around count: blocks whose cells lie apart hold
+        none, and a block bounds the distance only if all its points are in the cells around.
         """
         side = lambda p, b: self.boxes.select(F.col("cloud_id").alias(f"{p}_id"), F.col("block").alias(b), F.col("n").alias(f"{b}_n"), *[F.col(f"{e}_{c}").alias(f"{b}_{e}_{c}") for e in ("lo", "hi") for c in "xyz"])
         col, zero = F.col, F.lit(0.0)
         gap = lambda c: F.greatest(zero, col(f"tb_lo_{c}") - col(f"qb_hi_{c}"), col(f"qb_lo_{c}") - col(f"tb_hi_{c}"))
         reach = lambda c: F.greatest(col(f"tb_hi_{c}") - col(f"qb_lo_{c}"), col(f"qb_hi_{c}") - col(f"tb_lo_{c}"))
-        each = pairs.join(side("query", "qb"), "query_id").join(side("target", "tb"), "target_id").select(
-            "query_id", "target_id", "qb", "tb", sum(gap(c) * gap(c) for c in "xyz").alias("near"), F.when(col("tb_n") >= k, sum(reach(c) * reach(c) for c in "xyz")).alias("far"),
-        )
+        each = pairs.join(side("query", "qb"), "query_id").join(side("target", "tb"), "target_id")
+        most = sum(reach(c) * reach(c) for c in "xyz")
+        sure = col("tb_n") >= k
+        if cell:
+            at = lambda c: F.floor(col(c) / cell).cast("double")
+            each = each.where(F.greatest(*[F.greatest(at(f"tb_lo_{c}") - at(f"qb_hi_{c}"), at(f"qb_lo_{c}") - at(f"tb_hi_{c}")) for c in "xyz"]) <= 1)
+            # the distance too, as the numbers of very far cells are all the same
+            sure = sure & (F.greatest(*[F.greatest(at(f"tb_hi_{c}") - at(f"qb_lo_{c}"), at(f"qb_hi_{c}") - at(f"tb_lo_{c}")) for c in "xyz"]) <= 1) & (most <= 12 * cell * cell)
+        each = each.select("query_id", "target_id", "qb", "tb", sum(gap(c) * gap(c) for c in "xyz").alias("near"), F.when(sure, most).alias("far"))
         of_block = W.partitionBy("query_id", "target_id", "qb")
         some = each.withColumn("least", F.min("far").over(of_block)).where(F.col("least").isNull() | (F.col("near") <= F.col("least") * (1 + 1e-9)))
         return some.withColumn("whole", F.count(F.lit(1)).over(of_block) == 1).select("query_id", "target_id", "qb", "tb", "whole")
@@ -242,6 +250,48 @@ def nearest(q: np.ndarray, t: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarra
     return where, far
 
 
+def nearest_around(q: np.ndarray, t: np.ndarray, cell: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places in ``t`` and squared distances of each of ``q``'s nearest in its cell of side ``cell`` or the 26 around it; -1 where these are empty.
+
+    Where the nearest of all lies outside, the cells around are looked into: a few points
+    are all compared, of many all queries of a cell search together.
+    """
+    at, d2 = nearest(q, t, 1)
+    where, far = at[:, 0], d2[:, 0]
+    mine, theirs = np.floor(q / cell), np.floor(t / cell)
+    open_ = np.flatnonzero((np.abs(mine - theirs[where]) > 1).any(1))
+    if not len(open_):
+        return where, far
+    where[open_], far[open_] = -1, np.inf
+    # cells by the ranks of their numbers along each axis; those around are up to three ranks from ``low``, and runs along the last axis
+    marks = [np.unique(theirs[:, c]) for c in range(3)]
+    code = np.zeros(len(t), np.int64)
+    for c in range(3):
+        code = code * len(marks[c]) + np.searchsorted(marks[c], theirs[:, c])
+    order = np.argsort(code, kind="stable")
+    code = code[order]
+    low, high = (np.stack([np.searchsorted(marks[c], mine[open_, c] + by, side) for c in range(3)], 1) for by, side in ((-1, "left"), (1, "right")))
+    three = np.arange(3)
+    x, y = (low[:, c, None] + three for c in (0, 1))
+    ok = ((x < high[:, 0, None])[:, :, None] & (y < high[:, 1, None])[:, None, :]).reshape(len(open_), 9)
+    base = ((x[:, :, None] * len(marks[1]) + y[:, None, :]) * len(marks[2])).reshape(len(open_), 9)
+    start = np.searchsorted(code, base + low[:, 2, None])
+    size = np.where(ok, np.searchsorted(code, base + high[:, 2, None]) - start, 0)
+    total = size.sum(1)
+    few = np.flatnonzero((total > 0) & (total <= CROWD))
+    names, squares = _among(q[open_], t, order, start, size, 1, few)
+    where[open_[few]], far[open_[few]] = names[few, 0], squares[few, 0]
+    many = np.flatnonzero(total > CROWD)
+    if len(many):
+        _, first, group = np.unique(mine[open_[many]], axis=0, return_index=True, return_inverse=True)
+        by_cell = np.argsort(group.ravel(), kind="stable")
+        for one, rows in zip(many[first], np.split(many[by_cell], np.cumsum(np.bincount(group.ravel()))[:-1]), strict=True):
+            there = np.sort(np.concatenate([order[a : a + n] for a, n in zip(start[one], size[one], strict=True)]))
+            at, d2 = nearest(q[open_[rows]], t[there], 1)
+            where[open_[rows]], far[open_[rows]] = there[at[:, 0]], d2[:, 0]
+    return where, far
+
+
 def _table(columns: list, out: pa.Schema) -> pa.Table:
     return pa.table([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, f.type) for c, f in zip(columns, out, strict=True)], schema=out)
 
@@ -270,11 +320,11 @@ def _alone(packed: Packed, kernel: Callable, kinds: str) -> DataFrame:
     return packed.rows.repartition(max(1, min(packed.clouds, max(-(-packed.points // TILE), 2 * packed.rows.sparkSession.sparkContext.defaultParallelism))), "cloud_id").mapInArrow(run, kinds)
 
 
-def _meet(packed: Packed, pairs: DataFrame, kernel: Callable, kinds: str, k: int = 1) -> DataFrame:
+def _meet(packed: Packed, pairs: DataFrame, kernel: Callable, kinds: str, k: int = 1, cell: float | None = None) -> DataFrame:
     """Run ``kernel(query block, target block, query_id, target_id, whole)`` for all blocks of wanted pairs, tile by tile."""
     n = max(-(-packed.points // TILE), min(4, packed.clouds), 1)  # some tiles even of few blocks, for the cores
     tile = lambda c, b: F.pmod(F.xxhash64(c, b), F.lit(n)).cast("int")
-    each = packed.met(pairs, k) if packed.several else pairs.select("query_id", "target_id", F.lit(0).alias("qb"), F.lit(0).alias("tb"), F.lit(True).alias("whole"))
+    each = packed.met(pairs, k, cell) if packed.several else pairs.select("query_id", "target_id", F.lit(0).alias("qb"), F.lit(0).alias("tb"), F.lit(True).alias("whole"))
     each = each.select(tile("query_id", "qb").alias("i"), tile("target_id", "tb").alias("j"), "query_id", "qb", "target_id", "tb", "whole")
     arrays = ["idx", *FIELDS]
     # a row for both blocks and one for the pair itself, whose block number is that of no block, so it meets none in the join
@@ -433,14 +483,21 @@ def pair_neighbours(points: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def grid_matches(points: DataFrame, pairs: DataFrame, cell: float) -> DataFrame:
-    """An approximate nearest match in DataFrame joins: only target points in a query point's grid cell or the 26 around it.
+    """query_id, target_id, point_idx, nbr_idx, dist: an approximate nearest match, only of target points in a query point's grid cell or the 26 around it.
 
-    Points with no target point that near are left out. Whoever needs all takes ``pair_neighbours``.
+    Points with no target point that near are left out, as are those with a coordinate that is
+    null or not finite, which are in no cell. Whoever needs all takes ``pair_neighbours``.
     """
-    at = lambda c: F.floor(F.col(c) / cell)
-    q = points.select(F.col("cloud_id").alias("query_id"), "point_idx", *[F.col(c).alias(f"q{c}") for c in "xyz"], *[at(c).alias(f"g{c}") for c in "xyz"])
-    around = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]))
-    t = points.select(F.col("cloud_id").alias("target_id"), F.col("point_idx").alias("nbr_idx"), *"xyz", around.alias("o")).select("target_id", "nbr_idx", *"xyz", *[(at(c) + F.col(f"o.{o}")).alias(f"g{c}") for c, o in zip("xyz", "abc", strict=True)])
-    d = F.sqrt((F.col("qx") - F.col("x")) ** 2 + (F.col("qy") - F.col("y")) ** 2 + (F.col("qz") - F.col("z")) ** 2)
-    near = q.join(pairs, "query_id").join(t, ["target_id", "gx", "gy", "gz"])
-    return near.groupBy("query_id", "target_id", "point_idx").agg(F.min(F.struct(d.alias("dist"), "nbr_idx")).alias("m")).select("query_id", "target_id", "point_idx", F.col("m.nbr_idx").alias("nbr_idx"), F.col("m.dist").alias("dist"))
+
+    def kernel(q, t, query, target, whole):
+        at, d2 = nearest_around(q[1], t[1], cell)
+        have = at >= 0
+        n = int(have.sum())
+        return [np.full(n, query), np.full(n, target), q[0][have], t[0][at[have]], np.sqrt(d2[have])]
+
+    finite = lambda c: F.abs(F.col(c)) < float("inf")
+    packed = Packed(points.select("cloud_id", "point_idx", *"xyz").where(finite("x") & finite("y") & finite("z")))
+    found = _meet(packed, pairs, kernel, "query_id long, target_id long, point_idx int, nbr_idx int, dist double", cell=cell)
+    if not packed.several:
+        return found
+    return found.groupBy("query_id", "target_id", "point_idx").agg(F.min(F.struct("dist", "nbr_idx")).alias("m")).select("query_id", "target_id", "point_idx", F.col("m.nbr_idx").alias("nbr_idx"), F.col("m.dist").alias("dist"))

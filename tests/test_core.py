@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from morphosim.functions.bins import Bins, Grid, ScoreTable, UpperTable, exact_quantiles
 from morphosim.functions.vectors import SYMMETRIES, augmented, combine, rectified
 from morphosim.operators import arbor, training
-from morphosim.operators.neighbours import dotprops, nearest, neighbourhoods, point_matches, raw_scores, tangents
+from morphosim.operators.neighbours import dotprops, grid_matches, nearest, nearest_around, neighbourhoods, point_matches, raw_scores, tangents
 from morphosim.operators.scoring import product, scores
 from morphosim.plans.arena import Arena
 from morphosim.sources import io
@@ -145,6 +145,60 @@ def test_cells_find_what_comparing_all_finds(t):
         assert (got[1] == want[1]).all()
 
 
+def exact_around(q, t, cell):
+    d2 = ((q[:, None] - t[None]) ** 2).transpose(2, 0, 1)
+    d2 = np.where((np.abs(np.floor(q / cell)[:, None] - np.floor(t / cell)[None]) <= 1).all(2), d2[0] + d2[1] + d2[2], np.inf)
+    return np.where(np.isfinite(d2.min(1)), d2.argmin(1), -1), d2.min(1)
+
+
+@pytest.mark.parametrize("t", [
+    RNG.random((1500, 3)) * 30, RNG.integers(-9, 9, (1500, 3)).astype(float), RNG.normal(0, 0.2, (900, 3)), np.r_[np.full((400, 3), -3.9), RNG.random((50, 3)) * 100], RNG.random((3, 3)),
+    np.c_[RNG.random(2000) * 60, np.full((2000, 2), 7.9)],
+], ids=["even", "lattice", "dense", "crowded", "few", "rod"])
+def test_cells_around_find_what_comparing_all_in_them_finds(t):
+    q = np.r_[t[:200], RNG.random((600, 3)) * 12 - 6, RNG.normal(0, 20, (200, 3)), RNG.normal(0, 500, (20, 3)), np.c_[RNG.random(500) * 60, RNG.random((500, 2)) * 4 - 0.1]]
+    for cell in (0.5, 3.0, 4.0):
+        got, want = nearest_around(q, t, cell), exact_around(q, t, cell)
+        assert (got[0] == want[0]).all()
+        assert (got[1] == want[1]).all()
+
+
+def most_rows(spark, df):
+    """The rows of ``df``, and the most that an operator of its plan made."""
+    rows = df.collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    store = spark._jsparkSession.sharedState().statusStore()
+    last = store.executionsList(store.executionsCount() - 1, 1).apply(0)
+    values, metrics = store.executionMetrics(last.executionId()), last.metrics()
+    each = [values.get(m.accumulatorId()) for m in (metrics.apply(i) for i in range(metrics.size())) if m.name() == "number of output rows"]
+    return rows, max(int(v.get().replace(",", "")) for v in each if v.isDefined())
+
+
+def test_grid_matches_make_no_row_for_each_pair_of_points(spark, monkeypatch):
+    import morphosim.operators.neighbours as n
+
+    rng = np.random.default_rng(5)
+    p = {1: rng.normal(0, 2, (1000, 3)), 2: np.r_[rng.normal(0, 2, (900, 3)), rng.normal(9, 5, (100, 3))], 3: rng.normal(-5, 6, (300, 3))}
+    points = io.from_arrays(spark, p)
+    pairs = product(points, points).where("query_id < target_id")
+    want = []
+    for q, t in ((1, 2), (1, 3), (2, 3)):
+        at, d2 = exact_around(p[q], p[t], 4.0)
+        want += [(q, t, i, int(at[i]), math.sqrt(d2[i])) for i in range(len(at)) if at[i] >= 0]
+    got, most = most_rows(spark, grid_matches(points, pairs, 4.0))
+    assert sorted(map(tuple, got)) == want
+    assert most < 10_000
+    for size in (300, 13):
+        monkeypatch.setattr(n, "BLOCK", size)
+        assert sorted(map(tuple, grid_matches(points, pairs, 4.0).collect())) == want
+
+
+def test_points_in_no_cell_match_nothing(spark):
+    odd = [(1, 0, 1.0, 1.0, 1.0), (1, 1, float("nan"), 0.0, 0.0), (1, 2, None, 0.0, 0.0), (2, 0, float("nan"), 1.0, 1.0), (2, 1, float("inf"), 1.0, 1.0), (2, 2, 1.0, 1.0, 3.0), (3, 0, None, 1.0, 1.0), (3, 1, 1.0, float("-inf"), float("nan"))]
+    points = spark.createDataFrame(odd, "cloud_id long, point_idx int, x double, y double, z double")
+    assert [tuple(r) for r in grid_matches(points, product(points, points).where("query_id < target_id"), 4.0).collect()] == [(1, 2, 0, 2, 2.0)]
+
+
 def test_a_cloud_of_many_points(spark):
     p = np.random.default_rng(3).normal(size=(200_000, 3))
     rows = spark.createDataFrame(pa.table({"cloud_id": np.zeros(len(p), np.int64), "point_idx": np.arange(len(p), dtype=np.int32), "x": p[:, 0], "y": p[:, 1], "z": p[:, 2]}))
