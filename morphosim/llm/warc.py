@@ -178,18 +178,20 @@ def read_record(bundle: str, frame_start: int, frame_bytes: int, offset: int) ->
 def plan_records(pages: DataFrame, least: int = 1000) -> DataFrame:
     """Give each page its digest, record type, what it refers to, and a number if it repeats another row.
 
-    Digests and ids that repeat are counted before anything is joined; the joins are on
-    unique sides, so their hot digests can be split.
+    Digests and ids that repeat are counted before anything is joined, and what becomes of them is
+    known of each digest and id before payloads are: these travel once, in a join whose other
+    side is unique, so that hot ones can be split.
     """
     pages = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
         F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"), F.monotonically_increasing_id().alias("row"),
     ).withColumn("digest", F.sha1("payload"))
+    # not written in between: row numbers hold for one and the same dealing of the files into tasks
     alike = pages.groupBy("digest", "page_id").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("one"), F.min(F.octet_length("payload")).alias("bytes"))
-    first = alike.where(F.col("bytes") >= least).groupBy("digest").agg(F.max("page_id").alias("first"), F.sum("n").alias("n")).where("n > 1").drop("n")
-    repeated = alike.where("n > 1").select(F.col("digest").alias("d"), F.col("page_id").alias("p"), "one")
+    first = alike.where(F.col("bytes") >= least).groupBy("digest").agg(F.max("page_id").alias("first"), F.sum("n").alias("all")).where(F.col("all") > 1).drop("all")
+    marked = alike.join(first, "digest", "left").where(F.col("first").isNotNull() | (F.col("n") > 1)).select(F.col("digest").alias("d"), F.col("page_id").alias("p"), "first", F.when(F.col("n") > 1, F.col("one")).alias("one"))
     again = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
-    planned = pages.join(first, "digest", "left").join(repeated, (F.col("digest") == F.col("d")) & F.col("page_id").eqNullSafe(F.col("p")), "left")
+    planned = pages.join(marked, (F.col("digest") == F.col("d")) & F.col("page_id").eqNullSafe(F.col("p")), "left")
     return planned.select(
         "page_id", "url", "payload", "digest", F.when(again, "revisit").otherwise("response").alias("kind"), F.when(again, F.col("first")).alias("refers_to"),
         F.when(F.col("row") != F.col("one"), F.col("row")).alias("copy"),

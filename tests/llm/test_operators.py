@@ -170,6 +170,26 @@ def test_archives(spark):
     assert warc.read_bundles(warc.archive(spark, pages.limit(0))).count() == 0
 
 
+def test_payloads_are_shuffled_once(spark):
+    pages = spark.createDataFrame([(i, None, "x" * (900 + i % 5 * 100)) for i in range(40)], "page_id long, url string, html string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        planned = warc.plan_records(pages)
+        todo, exchanges = [planned._jdf.queryExecution().executedPlan()], []
+        while todo:
+            node = todo.pop()
+            if node.nodeName() == "AdaptiveSparkPlan":
+                node = node.executedPlan()
+            exchanges += [node.output().mkString(" ")] * (node.nodeName() == "Exchange")
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+        rows = planned.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len([x for x in exchanges if "payload#" in x]) == 1
+    assert {r.page_id: (r.kind, r.refers_to) for r in rows} == {i: ("revisit", 35 + i % 5) if i < 35 and i % 5 else ("response", None) for i in range(40)}
+
+
 def test_archives_find_every_record_by_its_id(spark):
     big, long = "<p>y</p>" * 200, "0123456789" * 5_000_000
     rows = [(1, "http://a/", big), (1, "http://a/", big), (1, "http://other/", big), (2, None, big), (2, None, big), (None, None, big), (None, None, big), (3, None, "s"), (3, None, "s"), (None, None, None), (4, "http://l/", long)]
