@@ -274,6 +274,19 @@ def test_drawn_pairs(spark):
     assert training.jobs(clouds, sets, None, 5, 500, 3)[1].count() == 8 * 4  # all there are
 
 
+def test_drawn_pairs_list_no_pairs_of_sets(spark):
+    """Two large sets and clouds of several: draws are told apart by the sets of both, and none of 2 million pairs is listed."""
+    clouds = spark.range(2000).withColumnRenamed("id", "cloud_id")
+    sets = spark.createDataFrame([(i % 2, i) for i in range(2000)] + [(2 + i % 7, i) for i in range(0, 1900, 3)], "set_id long, cloud_id long")
+    got, most = most_rows(spark, training.jobs(clouds, sets, None, 5, 60, 3)[1])
+    assert len({tuple(r) for r in got}) == 60
+    of = lambda i: {i % 2, 2 + i % 7} if i < 1900 and i % 3 == 0 else {i % 2}
+    assert not any(of(q) & of(t) for q, t in got)
+    assert most < 20_000
+    given = training.jobs(clouds, sets, spark.createDataFrame([(0, i) for i in range(40)], "set_id long, cloud_id long"), 5, 5000, 3)[1]
+    assert {tuple(r) for r in given.collect()} == {(q, t) for q in range(40) for t in range(40) if not of(q) & of(t)}
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "points").mkdir()
     for name in ("b c", "a"):
