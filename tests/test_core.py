@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 import numpy as np
@@ -287,6 +288,25 @@ def test_drawn_pairs_list_no_pairs_of_sets(spark):
     assert {tuple(r) for r in given.collect()} == {(q, t) for q in range(40) for t in range(40) if not of(q) & of(t)}
 
 
+def of_sets(spark, rows):
+    return spark.createDataFrame(rows, "set_id long, cloud_id long").repartition(3)
+
+
+def test_sampled_pairs_make_no_row_for_each_pair(spark, monkeypatch):
+    """Ids of all lengths, pairs of several sets, and tiles of a few clouds: the least of all by md5, from far fewer rows."""
+    rng = np.random.default_rng(6)
+    ids = [int(x) for x in np.r_[rng.integers(-(10**6), 10**6, 200), rng.integers(-(10**18), 10**18, 100), [0, 7, -(2**63), 2**63 - 1]]]
+    rows = [(0, i) for i in ids] + [(1, i) for i in ids[:200]] + [(2 + i, ids[i + j]) for i in range(30) for j in range(2)]
+    pairs = {(q, t) for s in range(32) for q in (i for k, i in rows if k == s) for t in (i for k, i in rows if k == s) if q != t}
+    want = sorted(pairs, key=lambda p: (hashlib.md5(f"-7:{p[0]}:{p[1]}".encode()).hexdigest(), p))[:50]
+    monkeypatch.setattr(training, "TILE", 64)
+    got, most = most_rows(spark, training.sampled_of_sets(of_sets(spark, rows), 50, -7))
+    assert [tuple(r) for r in got] == want
+    assert most < len(pairs) / 20
+    assert [tuple(r) for r in training.sampled_of_sets(of_sets(spark, rows), 50, 10**30).collect()] == [tuple(r) for r in training.sampled(training.set_pairs(of_sets(spark, rows)), 50, 10**30).collect()]
+    assert training.sampled_of_sets(of_sets(spark, rows[:200]), 10**5, 1).count() == 200 * 199
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "points").mkdir()
     for name in ("b c", "a"):
